@@ -49,7 +49,8 @@ def triples(record: object, shape: Shape) -> Iterator[tuple[str, tuple[int, ...]
     """The (table path, ordinals, column, value) of every leaf and of every repeated element.
 
     An element of a list gives one entry with an empty column, which announces its row. A null
-    element gives nothing, but the elements after it keep their positions.
+    element gives nothing, but the elements after it keep their positions. A dot inside a key is
+    written ``\\.``, so that paths stay unambiguous.
     """
     todo: list[tuple[object, str, str, tuple[int, ...]]] = [(record, ROOT, "", ())]
     yield ROOT, (), "", None
@@ -70,6 +71,7 @@ def triples(record: object, shape: Shape) -> Iterator[tuple[str, tuple[int, ...]
                     todo.append((x, path, "", (*at, k)))
         elif isinstance(value, dict):
             for k, x in value.items():
+                k = k.replace(".", "\\.") if "." in k else k
                 todo.append((x, table, f"{column}.{k}" if column else k, at))
         elif value is not None:
             if shape.keep is None or (column or "value") in shape.keep:
