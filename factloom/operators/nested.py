@@ -42,7 +42,8 @@ def _constant(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
-_decode = json.JSONDecoder(parse_constant=_constant).decode
+def _decode(text: str) -> object:
+    return json.loads(text, parse_constant=_constant)
 
 
 def triples(record: object, shape: Shape) -> Iterator[tuple[str, tuple[int, ...], str, str | None]]:

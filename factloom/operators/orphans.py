@@ -55,6 +55,10 @@ def _is_list(df: DataFrame, c: str) -> bool:
     return df.schema[c].dataType.typeName() == "array"
 
 
+def _named(values: Column, field_name: str) -> Column:
+    return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(field_name).alias("ref_field"), v.cast("string").alias("value")))
+
+
 def _references(graph: Graph, refs: Sequence[Reference]) -> DataFrame:
     """(src_table, src_id, ref_field, key parts..., value, at) of references to one parent.
 
@@ -69,7 +73,7 @@ def _references(graph: Graph, refs: Sequence[Reference]) -> DataFrame:
         lists = []
         for r in (r for r in refs if r.child == child):
             values = F.array_distinct(r.column) if _is_list(t.rows, r.column) else F.array(r.column)
-            lists.append(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v, n=r.column: F.struct(F.lit(n).alias("ref_field"), v.cast("string").alias("value"))))
+            lists.append(_named(values, r.column))
         scope = next(r.scope for r in refs if r.child == child)
         one = t.rows.select(F.lit(t.name).alias("src_table"), F.col(t.id).alias("src_id"), *(F.col(c).alias(n) for c, n in zip(scope, names)), F.col(t.at).alias("at"), F.explode(F.concat(*lists)).alias("r"))
         one = one.select("src_table", "src_id", "r.ref_field", *names, "r.value", "at").filter(F.col("value").isNotNull())
@@ -172,7 +176,7 @@ def cascade(graph: Graph, max_levels: int | None = None) -> DataFrame:
 
 def report(orphans: DataFrame) -> DataFrame:
     """Orphans per referring table, field, day and status."""
-    return orphans.groupBy("src_table", "ref_field", F.to_date("at").alias("day"), "status").agg(F.count("*").alias("n_refs"), F.count_distinct("src_id").alias("n_records"))
+    return orphans.groupBy("src_table", "ref_field", F.date_format("at", "yyyy-MM-dd").alias("day"), "status").agg(F.count("*").alias("n_refs"), F.count_distinct("src_id").alias("n_records"))
 
 
 def code_graph(func: DataFrame, ctx: DataFrame, tag: DataFrame, drop: DataFrame, calls_between_contexts: bool = False) -> Graph:

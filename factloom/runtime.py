@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +31,17 @@ def session(cpus: str | int = "*", shuffle_partitions: int = 8, **conf: str) ->
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One of the tables kept as ``<base>/<name>.parquet`` (a file or a folder)."""
+    importable(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package even if the driver was not started from its folder."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    if root not in (have := env.get("PYTHONPATH", "").split(":")):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, *have]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
