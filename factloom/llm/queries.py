@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import packing, tokens
+from factloom.llm import garbled, handwritten, packing, tokens
 from factloom.runtime import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,45 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     per = p9_containers(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("n"))
     return per.groupBy(F.floor(F.col("n") * 100 / CAPACITY).alias("percent_full")).agg(F.count("*").alias("n_containers"))
+
+
+# ---- 4: files nobody wrote by hand ----
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    files = handwritten.source_files(read_table(spark, d, "documents"))
+    return handwritten.classify(files, read_table(spark, d, "lib_file")).filter(F.col("kind").isNotNull())
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d).select("doc_id")
+
+
+@query()
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d)
+
+
+@query()
+def p4_functions(spark: SparkSession, d: str) -> DataFrame:
+    kept = handwritten.functions_by_hand(*(read_table(spark, d, t) for t in ("fact_func", "documents", "lib_file")))
+    return kept.select("func_id", "repo_id", "rev_hash", "path", "signature")
+
+
+# ---- 10: garbled text ----
+
+
+def _restored(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    return garbled.restore(docs, garbled.train(docs))
+
+
+@query()
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _restored(spark, d).select("doc_id")
+
+
+@query()
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _restored(spark, d).select("doc_id", F.array_join("chains", "; ").alias("chains"), "n_lines", "text")
