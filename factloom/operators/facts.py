@@ -142,10 +142,12 @@ def delete_revisions(df: DataFrame, gone: DataFrame) -> DataFrame:
     return df.join(gone.select(*SCOPE).distinct(), list(SCOPE), "left_anti")
 
 
-def file_links(ctx: DataFrame) -> DataFrame:
-    """Links between files by calls: one per call and file that defines the called signature."""
+def file_links(ctx: DataFrame, func: DataFrame) -> DataFrame:
+    """Links between files by calls: one per call, to the file of the called signature's function
+    (of several the first by path and row). Calls of unknown signatures give none."""
     calls = ctx.select(*SCOPE, F.col("path").alias("source"), F.explode(F.filter("calls", lambda s: s.isNotNull())).alias("signature"))
-    return calls.join(ctx.select(*SCOPE, "signature", F.col("path").alias("target")), [*SCOPE, "signature"]).select(*SCOPE, "source", "target")
+    home = func.groupBy(*SCOPE, "signature").agg(F.min_by("path", F.struct("path", "span.start.row")).alias("target"))
+    return calls.join(home, [*SCOPE, "signature"]).select(*SCOPE, "source", "target")
 
 
 def directory_categories(paths: DataFrame) -> DataFrame:
@@ -180,3 +182,11 @@ def guess_lang(paths: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def content_groups(files_: DataFrame, lang: str, content: str) -> DataFrame:
     """Distinct (language, content) to parse once, with how many files share it."""
     return files_.filter(F.col(content).isNotNull()).groupBy(F.col(lang).alias("lang"), F.md5(content).alias("content_md5")).agg(F.count("*").alias("n_files"))
+
+
+def annotation_distribution(func: DataFrame) -> DataFrame:
+    """How often each annotation occurs, and on how many functions."""
+    from factloom.operators.terms import json_list, stripped
+
+    each = func.filter(F.col("extras").contains("annotations")).select("func_id", F.explode(stripped(json_list("extras", "$.annotations"))).alias("annotation"))
+    return each.filter(F.col("annotation") != "").groupBy("annotation").agg(F.count("*").alias("n"), F.count_distinct("func_id").alias("n_functions"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import names, spans
+from factloom.runtime import materialize
 
 #: A name whose definitions times references exceed this has no edges.
 REF_LIMIT = 1024
@@ -47,9 +48,10 @@ def call_edges(func: DataFrame, symbols: DataFrame, scope: Sequence[str] = ("rep
     A reference calls every function of its name; the caller is the first function, in file order,
     whose body touches the reference and which isn't the callee itself. "Itself" means equal span
     and signature, whatever the file, so at most the first two such functions matter and only these
-    are kept per reference before definitions are joined.
+    are kept per reference before definitions are joined. The symbols within bodies are written to
+    the shared folder, since two steps read them and the texts should be parsed once.
     """
-    inside = symbols_in_bodies(func, symbols, scope)
+    inside = materialize(symbols_in_bodies(func, symbols, scope), "symbols")
     known = names_within_limit(func, inside, scope, limit).select(*scope, "name")
     refs = inside.select(*scope, "path", F.col("symbol").alias("name"), F.col("span").alias("ref")).join(known, [*scope, "name"], "left_semi")
     bodies = func.select(*scope, "path", "body_span", "unit_ordinal", F.col("func_id").alias("caller_id"), names.desc().alias("caller_desc")).filter(F.col("body_span").isNotNull())

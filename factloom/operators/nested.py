@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.runtime import spread
+
 CORRUPT = "_corrupt"
 ROOT = "_root"
 
@@ -154,7 +156,8 @@ def shred(df: DataFrame, keys: Iterable[str], payload: str, shape: Shape = Shape
                 names=[f.name for f in schema.fields],
             )
 
-    return df.select(*(F.col(f"`{k}`") for k in keys), F.col(f"`{payload}`").alias("_payload")).filter(F.col("_payload").isNotNull()).mapInArrow(run, schema)
+    rows = df.select(*(F.col(f"`{k}`") for k in keys), F.col(f"`{payload}`").alias("_payload")).filter(F.col("_payload").isNotNull())
+    return spread(rows).mapInArrow(run, schema)
 
 
 def pick(shredded: DataFrame, tables: str | Iterable[str], columns: dict[str, Column | str]) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import names, rules, spans
-from factloom.operators import chains, facts, graph
+from factloom.operators import chains, facts, graph, history
 from factloom.runtime import read_table
+from factloom.sources import patches
 from factloom.sources import symbols as sym
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,6 +481,52 @@ def thin_diff(spark, d):
     return facts.thin(facts.affected(upserted(spark, d), requests(spark, d).drop("drop_id").distinct()), ctx(spark, d))
 
 
-@query("select c.repo_id, c.rev_hash, c.path as source, t.path as target from (select repo_id, rev_hash, path, unnest(calls) s from rel_funcctx) c join rel_funcctx t on t.repo_id = c.repo_id and t.rev_hash = c.rev_hash and t.signature = c.s")
+@query("select c.repo_id, c.rev_hash, c.path as source, t.target from (select repo_id, rev_hash, path, unnest(calls) s from rel_funcctx) c join (select repo_id, rev_hash, signature, min(path) target from fact_func group by all) t on t.repo_id = c.repo_id and t.rev_hash = c.rev_hash and t.signature = c.s")
 def file_links(spark, d):
-    return facts.file_links(ctx(spark, d))
+    return facts.file_links(ctx(spark, d), func(spark, d))
+
+
+_CHAIN = """o as (select r.repo_id, r.rev_hash, r.branch, row_number() over (partition by r.repo_id, r.branch order by min(r.create_time), r.rev_hash) k
+ from rev_info r where exists (select 1 from fact_func f where f.repo_id = r.repo_id and f.rev_hash = r.rev_hash) group by r.repo_id, r.rev_hash, r.branch),
+pairs as (select a.repo_id, a.rev_hash from_rev, b.rev_hash to_rev from o a join o b on a.repo_id = b.repo_id and a.branch = b.branch and b.k = a.k + 1),
+keys as (select distinct repo_id, rev_hash, path, signature from fact_func)"""
+
+
+@query(f"with {_CHAIN} select distinct p.repo_id, p.from_rev, p.to_rev, k.path, k.signature from pairs p join keys k on k.repo_id = p.repo_id and k.rev_hash = p.to_rev where not exists (select 1 from keys q where q.repo_id = p.repo_id and q.rev_hash = p.from_rev and q.path = k.path and q.signature = k.signature)")
+def version_added(spark, d):
+    return history.versions(func(spark, d), rev(spark, d), "added")
+
+
+@query(f"with {_CHAIN} select distinct p.repo_id, p.from_rev, p.to_rev, k.path, k.signature from pairs p join keys k on k.repo_id = p.repo_id and k.rev_hash = p.from_rev where not exists (select 1 from keys q where q.repo_id = p.repo_id and q.rev_hash = p.to_rev and q.path = k.path and q.signature = k.signature)")
+def version_removed(spark, d):
+    return history.versions(func(spark, d), rev(spark, d), "removed")
+
+
+@query(f"""with {_CHAIN}, files as (select repo_id, rev_hash, path, string_agg(signature, chr(10) order by signature) s from keys group by all)
+select distinct p.repo_id, p.to_rev as rev_hash, k.path, k.signature, coalesce(a.s = b.s, false) as carried from pairs p join keys k on k.repo_id = p.repo_id and k.rev_hash = p.to_rev
+ join files b on b.repo_id = k.repo_id and b.rev_hash = k.rev_hash and b.path = k.path left join files a on a.repo_id = p.repo_id and a.rev_hash = p.from_rev and a.path = k.path""")
+def history_snapshot(spark, d):
+    return history.snapshots(func(spark, d), rev(spark, d))
+
+
+@query("""with p as (select distinct repo_id, rev_hash, path, string_split(path, '/') parts from fact_func), n as (select *, unnest(range(1, len(parts) + 1)) k from p)
+select distinct repo_id, rev_hash, case when k = 1 then rev_hash else array_to_string(parts[1:k - 1], '/') end as source, array_to_string(parts[1:k], '/') as target from n
+union select distinct repo_id, rev_hash, path, replace(replace(replace(signature, ':', ''), '|', '/'), chr(92), chr(92) || chr(92)) from fact_func""")
+def history_edges(spark, d):
+    return history.edges(func(spark, d))
+
+
+@query("select annotation, count(*) as n, count(distinct func_id) as n_functions from (select func_id, trim(unnest(cast(json_extract(extras, '$.annotations') as varchar[])), chr(32) || chr(9) || chr(10) || chr(13)) annotation from fact_func where json_type(json_extract(extras, '$.annotations')) = 'ARRAY') where annotation is not null and annotation <> '' group by all")
+def annotation_distribution(spark, d):
+    return facts.annotation_distribution(func(spark, d))
+
+
+@query()
+def patch_lines(spark, d):
+    return patches.affected_lines(docs(spark, d).filter(F.col("source") == "patch"), ["doc_id", "repo_id"])
+
+
+@query()
+def patch_functions(spark, d):
+    lines = patches.affected_lines(docs(spark, d).filter(F.col("source") == "patch"), ["doc_id", "repo_id"])
+    return history.patched(graph_functions(spark, d), lines).select("doc_id", "repo_id", "path", "func_id", "signature")

@@ -89,6 +89,16 @@ def release() -> None:
 atexit.register(release)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for steps that are heavy per row.
+
+    Only an input of fewer splits than cores, which is small, is shuffled; larger ones stay as they
+    were split.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df`` in bytes (exact for a table just written)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.runtime import spread
+
 _identifier = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -31,4 +33,4 @@ def identifiers(files: DataFrame, keys: list[str], text: str = "text") -> DataFr
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(len(keys))), pa.array(symbol, pa.string()), pa.array(row, pa.int64()), pa.array(col, pa.int64())], names=schema.names)
 
-    return files.select(*keys, text).filter(F.col(text).isNotNull()).mapInArrow(run, schema)
+    return spread(files.select(*keys, text).filter(F.col(text).isNotNull())).mapInArrow(run, schema)
