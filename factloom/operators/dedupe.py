@@ -38,13 +38,16 @@ def _halves(digits: Column) -> list[Column]:
     return [half(1).alias("u1"), half(17).alias("u2")]
 
 
+def position(df: DataFrame) -> list[Column]:
+    """File and row of each row of a file-based table, whatever columns it has."""
+    meta = df.metadataColumn("_metadata")
+    return [F.xxhash64(meta["file_path"]).alias("_file"), meta["row_index"].alias("_row")]
+
+
 def delivered(df: DataFrame, identifier: Column, order: str) -> DataFrame:
     """(u1, u2, order, file, row) of each message of a file-based table: all that gets shuffled."""
-    return (
-        df.select(identifier.alias("_u"), F.col(order).alias("_order"), F.xxhash64(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        .filter(F.col("_u").isNotNull())
-        .select(*_halves(F.col("_u")), "_order", "_file", "_row")
-    )
+    rows = df.select(identifier.alias("_u"), F.col(order).alias("_order"), *position(df))
+    return rows.filter(F.col("_u").isNotNull()).select(*_halves(F.col("_u")), "_order", "_file", "_row")
 
 
 def losers(df: DataFrame, identifier: Column, order: str) -> DataFrame:
@@ -102,13 +105,14 @@ def keep_first(df: DataFrame, identifier: Column, order: str) -> DataFrame:
     size allows it, else joined by file.
     """
     vectors = materialize(deletion_vectors(losers(df, identifier, order)), "deletion-vectors")
-    small = plan_bytes(vectors) <= BROADCAST_BYTES
-    rows = df.select("*", F.xxhash64(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row")).withColumn("_part", F.expr(f"_row div {VECTOR}"))
-    hit = rows.join(F.broadcast(vectors) if small else vectors, ["_file", "_part"], "left")
+    vectors = F.broadcast(vectors) if plan_bytes(vectors) <= BROADCAST_BYTES else vectors
+    # the payload's columns stay inside one struct, so their names can't clash
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_all"), *position(df)).withColumn("_part", F.expr(f"_row div {VECTOR}"))
+    hit = rows.join(vectors, ["_file", "_part"], "left")
     at = (F.col("_row") % VECTOR).cast("int")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    dead = F.coalesce(F.expr("pmod(_byte >> pmod(_row, 8), 2) = 1"), F.lit(False))
-    return hit.withColumn("_byte", byte).filter(~dead).select(*(F.col(f"`{c}`") for c in df.columns))
+    dead = F.coalesce(F.getbit(byte.cast("bigint"), F.pmod(at, F.lit(8))) == 1, F.lit(False))
+    return hit.filter(~dead).select("_all.*")
 
 
 def duplicate_deliveries(messages: DataFrame) -> DataFrame:

@@ -99,7 +99,8 @@ def direct(graph: Graph) -> DataFrame:
     ``deleted`` if there is none and the deletion log names the key, else ``missing``. One row per
     distinct reference: copies of a record and repeated elements count once, a record's time is the
     earliest of its copies. Null elements are no references; a record with a null id is reported
-    under null. Keys are compared exactly; a null time on either side is never late.
+    under null. Keys are compared exactly, a null part equals a null; a null time is never late. An
+    empty table gives no row; other columns are ignored.
 
     The search for problem keys shuffles only hashes and times, aggregated on both sides before the
     shuffle, so a hot key is one row per task on either side. References are then joined to the

@@ -9,11 +9,13 @@ under one salt, so that even distinct counts can be merged by adding.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.keys import hash64
+from factloom.runtime import fresh
 
 #: Rows that one salt of a heavy key should hold.
 ROWS_PER_SALT = 200_000
@@ -29,17 +31,17 @@ def heavy_keys(rows: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_P
 
 
 def salted(rows: DataFrame, keys: Sequence[str], record: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """``rows`` with a column ``_salt``: 0, or for heavy keys a number given by the record id."""
-    heavy = heavy_keys(rows, keys, rows_per_salt)
-    on = None
-    heavy = heavy.select(*(F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)), "_salts")
-    for i, k in enumerate(keys):
-        c = F.col(k).eqNullSafe(F.col(f"_h{i}"))
-        on = c if on is None else on & c
+    """``rows`` with a last column ``_salt``: 0, or for heavy keys a number given by the record id.
+
+    If ``rows`` has such a column, the new one's name gets an underscore more.
+    """
+    n, salt_, *own = fresh(rows, "_salts", "_salt", *(f"_h{i}" for i in range(len(keys))))
+    heavy = heavy_keys(rows, keys, rows_per_salt).select(*(F.col(f"`{k}`").alias(h) for h, k in zip(own, keys)), F.col("_salts").alias(n))
+    on = reduce(lambda a, b: a & b, (F.col(f"`{k}`").eqNullSafe(F.col(h)) for h, k in zip(own, keys)))
     # bounded by the number of rows over rows_per_salt, whatever the number of keys
     joined = rows.join(F.broadcast(heavy), on, "left")
-    salt = F.when(F.col("_salts").isNotNull(), F.pmod(hash64(*record), F.col("_salts"))).otherwise(0)
-    return joined.withColumn("_salt", salt.cast("int")).drop("_salts", *(f"_h{i}" for i in range(len(keys))))
+    salt = F.when(F.col(n).isNotNull(), F.pmod(hash64(*record), F.col(n))).otherwise(0)
+    return joined.withColumn(salt_, salt.cast("int")).drop(n, *own)
 
 
 def salted_aggregate(rows: DataFrame, keys: Sequence[str], record: Sequence[str], partial: dict[str, Column], merge: dict[str, Column], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
@@ -48,7 +50,8 @@ def salted_aggregate(rows: DataFrame, keys: Sequence[str], record: Sequence[str]
     partial: aggregates per (key, salt). merge: aggregates of those columns per key. Null keys are a
     key of their own, as in groupBy. An empty table gives no row.
     """
-    first = salted(rows, keys, record, rows_per_salt).groupBy(*keys, "_salt").agg(*(c.alias(n) for n, c in partial.items()))
+    split = salted(rows, keys, record, rows_per_salt)
+    first = split.groupBy(*keys, F.col(split.columns[-1]).alias("_salt")).agg(*(c.alias(n) for n, c in partial.items()))
     return first.groupBy(*keys).agg(*(c.alias(n) for n, c in merge.items()))
 
 

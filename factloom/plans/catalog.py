@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import names, rules, spans
-from factloom.operators import chains, facts, graph, history
+from factloom.operators import chains, facts, graph, history, tree
 from factloom.runtime import read_table
-from factloom.sources import patches
+from factloom.sources import extract, patches
 from factloom.sources import symbols as sym
+from factloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -530,3 +531,57 @@ def patch_lines(spark, d):
 def patch_functions(spark, d):
     lines = patches.affected_lines(docs(spark, d).filter(F.col("source") == "patch"), ["doc_id", "repo_id"])
     return history.patched(graph_functions(spark, d), lines).select("doc_id", "repo_id", "path", "func_id", "signature")
+
+
+# ---- facts out of source texts ----
+
+
+def _sources(spark, d) -> DataFrame:
+    """Source files with the language that their name tells; code_lang may be wrong or missing."""
+    return docs(spark, d).filter((F.col("source") == "src_file") & F.col("path").isNotNull()).withColumn("lang", facts.lang_of_path("path"))
+
+
+@query()
+def extract_functions(spark, d):
+    out = extract.extract(_sources(spark, d), "func", ["doc_id", "path"])
+    return out.select("doc_id", "path", "unit_ordinal", "signature", "def_line", spans.text("span").alias("span"), spans.text("body_span").alias("body_span"), "extras", "lang", "error")
+
+
+@query()
+def extract_classes(spark, d):
+    return extract.extract(_sources(spark, d), "class", ["doc_id", "path"]).select("doc_id", "path", "signature", spans.text("span").alias("span"), "extras", "lang", "error")
+
+
+@query()
+def extract_symbols(spark, d):
+    return extract.extract(_sources(spark, d), "symbol", ["doc_id", "path"]).select("doc_id", "path", "symbol", "kind", "field_name", spans.text("span").alias("span"), "error")
+
+
+@query()
+def extract_calls(spark, d):
+    return extract.extract(_sources(spark, d), "call", ["doc_id", "path"]).select("doc_id", "path", "src", "caller", F.array_join("arguments", ",").alias("arguments"), spans.text("span").alias("span"), "error")
+
+
+@query()
+def tree_enclosing(spark, d):
+    """The nearest function around every call, by the tree."""
+    units = extract.extract(_sources(spark, d), "unit", ["doc_id"]).filter("error is null")
+    up = tree.TreeQuery(units, ["doc_id"]).up().kind("function_declaration", "method_declaration", "method_definition", "function_definition")
+    return up.first(units.filter(tree.match(["call_expression", "method_invocation"]))).select("doc_id", "start_id", "unit_id", "kind")
+
+
+# ---- event time, which the reference lacks ----
+
+
+@query("select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n from events where ts is not null group by all")
+def event_windows(spark, d):
+    out = ingest.event_windows(read_table(spark, d, "events"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+
+
+@query("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as fresh from events where ts is not null),
+s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts) k from g)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start, count(*) as n from s group by user_id, k""")
+def event_sessions(spark, d):
+    out = ingest.sessions(read_table(spark, d, "events"))
+    return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")

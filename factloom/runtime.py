@@ -99,6 +99,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed so far that no column of ``df`` has them (letter case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df`` in bytes (exact for a table just written)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
