@@ -11,8 +11,8 @@ from factloom.runtime import materialize
 
 def successors(ctx: DataFrame, reverse: bool = False) -> DataFrame:
     """(repo_id, rev_hash, node, next): one context per signature, that of the smallest path and row."""
-    one = first_by(ctx.filter(F.col("signature").isNotNull()), [*SCOPE, "signature"], [F.col("path"), F.col("span.start.row"), F.col("ctx_id")])
     column = "reverse_calls" if reverse else "calls"
+    one = first_by(ctx.filter(F.col("signature").isNotNull()), [*SCOPE, "signature"], [F.col("path"), F.col("span.start.row"), F.col("span.end.row"), F.col(column)])
     return one.select(*SCOPE, F.col("signature").alias("node"), F.array_distinct(F.filter(column, lambda s: s.isNotNull())).alias("next"))
 
 

@@ -439,7 +439,7 @@ DEPTH = 2
 
 
 def _walk(column: str, depth: int = DEPTH) -> str:
-    return f"""with recursive e as (select repo_id, rev_hash, signature node, list_distinct(list_filter({column}, lambda x: x is not null)) nxt from (select *, row_number() over (partition by repo_id, rev_hash, signature order by path, span.start.row, ctx_id) rn from rel_funcctx where signature is not null) where rn = 1),
+    return f"""with recursive e as (select repo_id, rev_hash, signature node, list_distinct(list_filter({column}, lambda x: x is not null)) nxt from (select *, row_number() over (partition by repo_id, rev_hash, signature order by path, span.start.row, span.end.row, {column}) rn from rel_funcctx where signature is not null) where rn = 1),
 w(repo_id, rev_hash, start, node, chain) as (
  select distinct repo_id, rev_hash, signature, signature, cast([] as varchar[]) from func_tag
  union all select repo_id, rev_hash, start, s, list_append(chain, s) from (select w.*, unnest(e.nxt) s from w join e on e.repo_id = w.repo_id and e.rev_hash = w.rev_hash and e.node = w.node where len(w.chain) <= {depth}) where not list_contains(chain, s)),
