@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.keys import hash64
+from factloom.runtime import spread
 
 #: Documents with non-ASCII text that the classifier is trained on, at most.
 SAMPLE_DOCS = 4000
@@ -299,4 +300,4 @@ def restore(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
             at, chains, n, fixed = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(chains, pa.list_(pa.string())), pa.array(n, pa.int32()), pa.array(fixed, pa.string())], names=["doc_id", "chains", "n_lines", "text"])
 
-    return docs.select("doc_id", "text").filter(F.col("text").rlike(r"[^\x00-\x7F]")).mapInArrow(run, "doc_id bigint, chains array<string>, n_lines int, text string")
+    return spread(docs.select("doc_id", "text").filter(F.col("text").rlike(r"[^\x00-\x7F]"))).mapInArrow(run, "doc_id bigint, chains array<string>, n_lines int, text string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.runtime import materialize, plan_bytes
+from factloom.runtime import materialize, plan_bytes, spread
 
 KINDS = ("generated", "minified", "vendored", "data")
 
@@ -221,7 +221,7 @@ def _copied_by_broadcast(docs: DataFrame, index: DataFrame) -> DataFrame:
                 kind.append(text_kind(text or ""))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(share, pa.float64()), pa.array(kind, pa.string())], names=["doc_id", "copied", "text_kind"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, copied double, text_kind string")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, copied double, text_kind string")
 
 
 def _copied_by_join(docs: DataFrame, index: DataFrame) -> DataFrame:
@@ -233,18 +233,18 @@ def _copied_by_join(docs: DataFrame, index: DataFrame) -> DataFrame:
             kinds = [text_kind(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.list_(pa.int64())), pa.array(kinds, pa.string())], names=["doc_id", "shingles", "text_kind"])
 
-    cut = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>, text_kind string"), "shingles").withColumn("n", F.size("shingles"))
-    hits = cut.filter("n > 0").select("doc_id", "n", F.explode("shingles").alias("shingle")).distinct().join(index, "shingle")
-    best = hits.groupBy("doc_id", "n", "lib_id").count().groupBy("doc_id", "n").agg(F.max("count").alias("hits"))
-    return cut.join(best.withColumnRenamed("doc_id", "d").withColumnRenamed("n", "m"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("n") == F.col("m")), "left").select("doc_id", (F.coalesce("hits", F.lit(0)) / F.greatest("n", F.lit(1))).alias("copied"), "text_kind")
+    cut = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>, text_kind string")
+    cut = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "shingles")
+    hits = cut.select("row", F.explode("shingles").alias("shingle")).join(index, "shingle").groupBy("row", "lib_id").count()
+    best = hits.groupBy("row").agg(F.max("count").alias("hits"))
+    return cut.join(best, "row", "left").select("doc_id", (F.coalesce("hits", F.lit(0)) / F.greatest(F.size("shingles"), F.lit(1))).alias("copied"), "text_kind")
 
 
 def classify(files: DataFrame, libs: DataFrame) -> DataFrame:
     """(doc_id, kind) of every file of (doc_id, path, text); kind is null for hand-written ones.
 
     A null or empty text is judged by its path alone, a null path by its text alone; a file with
-    neither is hand-written. Every input row gives one row, repeated ones included (ids must be
-    unique for files judged by both path and text). An empty table gives no row, and without
+    neither is hand-written. Every input row gives one row, repeated and null ids included. An empty table gives no row, and without
     published files nothing is a copy of one. Other columns are ignored. Texts are read whole.
     """
     index = materialize(published(libs), "published")

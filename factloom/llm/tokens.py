@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.runtime import materialize
+from factloom.runtime import materialize, spread
 
 #: Where the vocabulary files lie on every node; each function takes another path.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -102,7 +102,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             T.StructField("words", T.ArrayType(T.StringType())),
         ]
     )
-    return materialize(docs.select(id_col, text_col).mapInArrow(_blocks, schema), "token-blocks")
+    return materialize(spread(docs.select(id_col, text_col)).mapInArrow(_blocks, schema), "token-blocks")
 
 
 def dictionary(split: DataFrame, path: str = RANKS) -> DataFrame:
