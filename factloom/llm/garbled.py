@@ -29,6 +29,10 @@ SAMPLE_LINES = 20_000
 BUCKETS, UNSEEN = 1 << 15, 0.05
 #: What a chain must gain over sound text (log likelihood), and how many of the best are tried.
 MARGIN, TRIED = 3.0, 4
+#: What a chain from UTF-8 must gain for a line that it explains but that can't be inverted.
+CERTAIN = 25.0
+#: Share of such a line's bytes that must be whole characters still.
+PARTLY = 0.3
 #: For chains between one-byte encodings: gain in mean log likelihood, and other than ASCII characters.
 BETTER, WEIGHTY = 1.5, 3
 LOST = "�"
@@ -176,7 +180,7 @@ def train(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_lines: int = SAMPLE_
 def _quoted(line: str, start: int, end: int, restored: str) -> bool:
     """A lone character that stands apart where it would touch a letter: it is shown, not meant."""
     before, after = line[start - 1 : start] if start else "", line[end : end + 1]
-    return not (before.isalnum() or after.isalnum()) and len(restored) == 1 and (restored.isalpha() or restored in "’‘´`")
+    return not (before.isalnum() or after.isalnum()) and len(restored) == 1 and (restored.isalpha() and restored < "\u0250" or restored in "’‘´`")
 
 
 @dataclass
@@ -190,6 +194,7 @@ def judge(lines: list[str], model: Model, margin: float = MARGIN) -> list[Verdic
     out = [Verdict("lost") if LOST in x else Verdict() for x in lines]
     scores = model.scores(lines)
     tried: list[tuple[int, str, str]] = []
+    broken: dict[int, str] = {}
     for i, x in enumerate(lines):
         if not out[i].chain:
             for c in np.argsort(-scores[i])[:TRIED]:
@@ -200,6 +205,8 @@ def judge(lines: list[str], model: Model, margin: float = MARGIN) -> list[Verdic
                         tried.append((i, model.names[c], got))
                     if model.names[c].startswith("utf-8"):
                         break
+                elif model.names[c].startswith("utf-8") and scores[i, c] >= scores[i, 0] + CERTAIN and _partly(x, model.names[c]):
+                    broken.setdefault(i, model.names[c])
     if tried:
         was, now = model.soundness([lines[i] for i, _, _ in tried]), model.soundness([t for _, _, t in tried])
         for (i, chain, got), w, n in zip(tried, was, now):
@@ -207,6 +214,9 @@ def judge(lines: list[str], model: Model, margin: float = MARGIN) -> list[Verdic
             if not out[i].chain and (chain.startswith("utf-8") or n > w + BETTER and len(_high.sub("", lines[i])) + WEIGHTY <= len(lines[i])):
                 out[i] = Verdict(chain, got)
     _by_piece(lines, out, model, margin)
+    for i, chain in broken.items():  # bytes were lost on the way
+        if not out[i].chain:
+            out[i] = Verdict(chain, None)
     return out
 
 
@@ -243,6 +253,17 @@ def _restore(line: str, chain: str) -> str | None:
     return "".join([*parts, line[last:]]) if real else QUOTED if parts else None
 
 
+def _partly(line: str, chain: str) -> bool:
+    """Whether a chain that can't be inverted still leaves some letters behind: bytes were dropped."""
+    wrote, read = CHAINS[chain][-1]
+    try:
+        data = to_bytes("".join(_high.findall(line)), read)
+    except UnicodeError:
+        return False
+    got = data.decode(wrote, "ignore")
+    return sum(c.isalpha() and c > "\x7f" for c in got) >= 2 and len(got.encode(wrote)) >= PARTLY * len(data)
+
+
 def _by_piece(lines: list[str], out: list[Verdict], model: Model, margin: float) -> None:
     """Lines that are garbled in places: single runs, with one character on either side, that a
     chain from UTF-8 explains better than sound text and that invert strictly."""
