@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from factloom.runtime import materialize, plan_bytes
 
 #: Bytes on disk up to which the deletion vectors are broadcast to the readers.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 #: Rows of a file that one deletion vector covers, so a vector has at most VECTOR / 8 bytes.
 VECTOR = 1 << 20
 

@@ -88,7 +88,7 @@ def _key128(names: Sequence[str]) -> list[Column]:
 
 
 #: Bytes on disk up to which the set of problem keys is broadcast; beyond, it is joined by shuffle.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def direct(graph: Graph) -> DataFrame:

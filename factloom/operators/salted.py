@@ -80,14 +80,15 @@ def signature_counts(func: DataFrame, ctx: DataFrame, rows_per_salt: int = ROWS_
 
     For ``signature``, n counts records (copies of a func_id once); for ``reverse_calls``, non-null
     elements, repeats within a list included and copies of a ctx_id once (a signature's number in a
-    context is its largest in any copy). Null signatures don't count. total is the sum of n over
-    the field. Empty tables give no row; other columns are ignored.
+    context is its largest in any copy). total is the sum over the field; records with a null
+    signature count in it, but have no row. Empty tables give no row; other columns are ignored.
     """
     f = func.select(F.lit("signature").alias("field"), "signature", F.col("func_id").alias("record"), F.lit(1).cast("bigint").alias("n"))
     c = element_counts(ctx, "reverse_calls", ["ctx_id"]).select(F.lit("reverse_calls").alias("field"), F.col("value").alias("signature"), F.col("ctx_id").alias("record"), "n")
-    counts = _by_signature(f.unionByName(c).filter(F.col("signature").isNotNull()), ["field", "signature"], rows_per_salt)
+    counts = _by_signature(f.unionByName(c), ["field", "signature"], rows_per_salt)
     totals = counts.groupBy("field").agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(totals), "field")
+    # two rows
+    return counts.filter(F.col("signature").isNotNull()).join(F.broadcast(totals), "field")
 
 
 def heavy_signatures(func: DataFrame, ctx: DataFrame, share: float = 0.02, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:

@@ -22,7 +22,7 @@ from factloom.runtime import materialize, plan_bytes
 #: Rows of compact arrays that one task sorts (about 40 bytes each).
 ROWS_PER_BUCKET = 1_000_000
 #: Bytes on disk up to which differing keys or revisions are broadcast; beyond, they are shuffled.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 CHANGES = ("added", "removed", "changed")
 
 

@@ -179,7 +179,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 # ---- 6: skewed keys ----
 
 _COUNTS = """
-with s as (select 'signature' field, signature, count(distinct func_id) n from fact_func where signature is not null group by signature),
+with s as (select 'signature' field, signature, count(distinct func_id) n from fact_func group by signature),
 e as (select ctx_id, row_number() over () rid, unnest(reverse_calls) signature from rel_funcctx),
 p as (select ctx_id, rid, signature, count(*) n from e where signature is not null group by all),
 q as (select ctx_id, signature, max(n) n from p group by all),
@@ -188,12 +188,12 @@ t as (select field, cast(sum(n) as bigint) total from c group by field)
 """
 
 
-@query(_COUNTS + "select c.field, c.signature, c.n, t.total from c join t on c.field = t.field")
+@query(_COUNTS + "select c.field, c.signature, c.n, t.total from c join t on c.field = t.field where c.signature is not null")
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return salted.signature_counts(read_table(spark, d, "fact_func"), read_table(spark, d, "rel_funcctx"))
 
 
-@query(_COUNTS + "select c.field, c.signature from c join t on c.field = t.field where c.n > 0.02 * t.total")
+@query(_COUNTS + "select c.field, c.signature from c join t on c.field = t.field where c.signature is not null and c.n > 0.02 * t.total")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return salted.heavy_signatures(read_table(spark, d, "fact_func"), read_table(spark, d, "rel_funcctx")).select("field", "signature")
 
