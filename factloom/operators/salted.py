@@ -15,19 +15,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.keys import hash64
-from factloom.runtime import fresh
+from factloom.runtime import fresh, materialize
 
 #: Rows that one salt of a heavy key should hold.
 ROWS_PER_SALT = 200_000
+#: Heavy keys at most; their table is broadcast.
+MAX_HEAVY = 50_000
 
 
-def heavy_keys(rows: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Keys of more than ``rows_per_salt`` rows and the number of salts each needs.
+def heavy_keys(rows: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT, at_most: int = MAX_HEAVY) -> DataFrame:
+    """(keys..., _salts) of keys of more than ``rows_per_salt`` rows: the salts each needs.
 
-    Rows are counted before the shuffle, so a hot key sends one number per task. There are at most
-    (rows / rows_per_salt) such keys.
+    Rows are counted before the shuffle, so a hot key sends one number per task. If more than
+    ``at_most`` keys qualify, only those above a share of 1 / ``at_most`` of their rows are heavy,
+    of which there can't be more; the others are too many to be a few hot ones.
     """
-    return rows.groupBy(*keys).count().filter(F.col("count") > rows_per_salt).select(*keys, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts"))
+    found = materialize(rows.groupBy(*keys).count().filter(F.col("count") > rows_per_salt), "heavy-keys")
+    n, total = found.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    if n > at_most:
+        found = found.filter(F.col("count") > total / at_most)
+    return found.select(*keys, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts"))
 
 
 def salted(rows: DataFrame, keys: Sequence[str], record: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
@@ -38,7 +45,7 @@ def salted(rows: DataFrame, keys: Sequence[str], record: Sequence[str], rows_per
     n, salt_, *own = fresh(rows, "_salts", "_salt", *(f"_h{i}" for i in range(len(keys))))
     heavy = heavy_keys(rows, keys, rows_per_salt).select(*(F.col(f"`{k}`").alias(h) for h, k in zip(own, keys)), F.col("_salts").alias(n))
     on = reduce(lambda a, b: a & b, (F.col(f"`{k}`").eqNullSafe(F.col(h)) for h, k in zip(own, keys)))
-    # bounded by the number of rows over rows_per_salt, whatever the number of keys
+    # at most MAX_HEAVY rows, whatever the input
     joined = rows.join(F.broadcast(heavy), on, "left")
     salt = F.when(F.col(n).isNotNull(), F.pmod(hash64(*record), F.col(n))).otherwise(0)
     return joined.withColumn(salt_, salt.cast("int")).drop(n, *own)

@@ -67,6 +67,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _written:  # registered late, so that it runs before the session's own clean-up
+        atexit.register(release)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -86,14 +88,11 @@ def release() -> None:
                 shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
-atexit.register(release)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for steps that are heavy per row.
 
     Only an input of fewer splits than cores, which is small, is shuffled; larger ones stay as they
-    were split.
+    were split. For scans and what is narrow upon them; a plan with shuffles would be run to count.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

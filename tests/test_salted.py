@@ -38,3 +38,10 @@ def test_element_counts(spark):
 def test_empty_tables(spark):
     f, c = spark.createDataFrame([], "func_id bigint, signature string"), spark.createDataFrame([], "ctx_id bigint, reverse_calls array<string>")
     assert salted.heavy_signatures(f, c).count() == 0
+
+
+def test_number_of_heavy_keys_is_bounded(spark):
+    df = spark.createDataFrame([(k, i) for k in range(60) for i in range(5)] + [(99, i) for i in range(400)], "k int, id bigint")
+    assert salted.heavy_keys(df, ["k"], 2).count() == 61
+    few = salted.heavy_keys(df, ["k"], 2, at_most=10)
+    assert as_set(few) == {(99, 200)}
