@@ -25,6 +25,8 @@ from factloom.runtime import spread
 SAMPLE_DOCS = 4000
 #: Distinct lines of these that are used, at most.
 SAMPLE_LINES = 20_000
+#: Characters of a line that is trained on, at most.
+LINE_CHARS = 2_000
 #: Hash buckets of byte bigrams, and the weight of a bigram never seen.
 BUCKETS, UNSEEN = 1 << 15, 0.05
 #: What a chain must gain over sound text (log likelihood), and how many of the best are tried.
@@ -167,9 +169,17 @@ def clean(lines: list[str]) -> list[str]:
 
 
 def sample_lines(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_lines: int = SAMPLE_LINES) -> list[str]:
-    """Distinct lines with non-ASCII text of a bounded sample, the same for the same documents."""
-    picked = docs.filter(F.col("text").rlike(r"[^\x00-\x7F]")).select(hash64("doc_id").alias("h"), "text").orderBy("h", "text").limit(max_docs)
-    lines = picked.select(F.explode(F.split("text", r"[\r\n]+")).alias("line")).filter(F.col("line").rlike(r"[^\x00-\x7F]")).distinct()
+    """Distinct lines with non-ASCII text of a bounded sample, the same for the same documents.
+
+    Documents are drawn by a hash of their id, about three times as many as are kept, so that no
+    task sees more than that however large the corpus is. Lines longer than LINE_CHARS are not
+    trained on (they are judged like any other).
+    """
+    n, span = docs.count(), 1 << 31
+    h = F.pmod(hash64("doc_id"), F.lit(span))
+    drawn = docs.filter(h < span * 3 * max_docs // n) if n > 3 * max_docs else docs
+    picked = drawn.filter(F.col("text").rlike(r"[^\x00-\x7F]")).select(h.alias("h"), "text").orderBy("h", "text").limit(max_docs)
+    lines = picked.select(F.explode(F.split("text", r"[\r\n]+")).alias("line")).filter(F.col("line").rlike(r"[^\x00-\x7F]") & (F.length("line") <= LINE_CHARS)).distinct()
     return [r[0] for r in lines.orderBy(F.xxhash64("line"), "line").limit(max_lines).collect()]
 
 

@@ -82,5 +82,11 @@ def test_training_on_a_corpus(spark):
     assert garbled.restore(frame(spark, []), garbled.train(frame(spark, []))).count() == 0
     rows = frame(spark, [x for x in SOUND for _ in range(2)] + [garbled.garble(SOUND[0], "utf-8 as cp1252")])
     lines = garbled.sample_lines(rows, 5, 3)
-    assert len(lines) <= 3 and lines == garbled.sample_lines(rows.repartition(3), 5, 3)
+    assert 0 < len(lines) <= 3 and lines == garbled.sample_lines(rows.repartition(3), 5, 3)
     assert {r["doc_id"] for r in garbled.restore(rows, garbled.train(rows)).collect()} == {len(SOUND) * 2}
+
+
+def test_sample_of_a_larger_corpus_is_drawn_by_hash(spark):
+    rows = frame(spark, [f"é {i}" for i in range(900)])
+    lines = garbled.sample_lines(rows, 100, 1000)
+    assert len(lines) == 100 and lines == garbled.sample_lines(rows.repartition(5), 100, 1000)
