@@ -101,6 +101,10 @@ def deletion_vectors(lost: DataFrame) -> DataFrame:
 def keep_first(df: DataFrame, identifier: Column, order: str) -> DataFrame:
     """``df``, read from files, with exactly one copy of each message and all its columns.
 
+    Messages with a null or unreadable identifier all stay. Of equal orders the first by file and
+    row stays, null orders come last; rows repeated in full are copies like any other. An empty
+    table gives no row, and columns may have any names.
+
     The deletion vectors are small beside the payloads; they are broadcast while their measured
     size allows it, else joined by file.
     """
@@ -116,5 +120,9 @@ def keep_first(df: DataFrame, identifier: Column, order: str) -> DataFrame:
 
 
 def duplicate_deliveries(messages: DataFrame) -> DataFrame:
-    """Deliveries whose message came before under a smaller delivery_id."""
+    """Deliveries whose message came before under a smaller delivery_id.
+
+    Null and unreadable msg_ids and null delivery_ids give no row; of equal delivery_ids none is
+    smaller. Payloads are not read. An empty table gives no row.
+    """
     return losers(messages, uuid_hex("msg_id"), "delivery_id").filter(F.col("_order") > F.col("_first")).select(F.col("_order").alias("delivery_id"))

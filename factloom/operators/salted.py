@@ -92,7 +92,8 @@ def signature_counts(func: DataFrame, ctx: DataFrame, rows_per_salt: int = ROWS_
     """
     f = func.select(F.lit("signature").alias("field"), "signature", F.col("func_id").alias("record"), F.lit(1).cast("bigint").alias("n"))
     c = element_counts(ctx, "reverse_calls", ["ctx_id"]).select(F.lit("reverse_calls").alias("field"), F.col("value").alias("signature"), F.col("ctx_id").alias("record"), "n")
-    counts = _by_signature(f.unionByName(c), ["field", "signature"], rows_per_salt)
+    # written, as it is read for the totals, too, and Catalyst would push the filter into one branch only
+    counts = materialize(_by_signature(f.unionByName(c), ["field", "signature"], rows_per_salt), "signature-counts")
     totals = counts.groupBy("field").agg(F.sum("n").alias("total"))
     # two rows
     return counts.filter(F.col("signature").isNotNull()).join(F.broadcast(totals), "field")

@@ -117,5 +117,9 @@ def function_row_hash() -> Column:
 
 
 def function_changes(func: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Functions added, removed and changed between consecutive revisions of each branch."""
+    """Functions added, removed and changed between consecutive revisions of each branch.
+
+    Nulls, copies and empty tables as in :func:`snapshot_changes`; extras that are no JSON compare
+    as text. Other columns are ignored.
+    """
     return snapshot_changes(func, revisions, ["repo_id", "branch"], ["repo_id", "rev_hash"], "create_time", ["path", "signature"], function_row_hash())

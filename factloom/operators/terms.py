@@ -205,7 +205,11 @@ def stripped(terms) -> object:
 
 
 def code_terms(func: DataFrame, clazz: DataFrame) -> DataFrame:
-    """(field, record, terms) of the annotations of functions and classes and of value types."""
+    """(field, record, terms) of the annotations of functions and classes and of value types.
+
+    Terms lose surrounding white space. A lone annotation is a list of one; null or broken extras,
+    null lists and null types give none.
+    """
     annotations = lambda df, field, key: df.filter(F.col("extras").contains("annotations")).select(F.lit(field).alias("field"), F.col(key).alias("record"), stripped(json_list("extras", "$.annotations")).alias("terms"))
     types = F.transform(F.concat(F.coalesce("parameters", F.array()), F.coalesce("returns", F.array())), lambda v: v["type"])
     return (

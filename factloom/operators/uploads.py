@@ -37,7 +37,10 @@ def of(child: str) -> list[str]:
 def elements(messages: DataFrame) -> DataFrame:
     """One row per nested record or element: (delivery_id, unit_pos, child, pos, sub_pos).
 
-    Positions count from 0 in the list as delivered and are -1 where a level does not exist.
+    Positions count from 0 in the list as delivered and are -1 where a level does not exist. Null
+    elements give no row but keep their position; a lone value is a list of one. Null payloads,
+    payloads that are no JSON and an empty table give no row. Every delivery counts, repeated rows
+    included; other columns are ignored and payloads are read whole.
     """
     rows = shred(messages, ["delivery_id"], "payload", shape(frozenset()))
     child = F.create_map(*(F.lit(x) for p in TABLES.items() for x in p))

@@ -2,24 +2,13 @@
 
 import re
 
-import pytest
-
 import __spark_entry__ as entry
 
-CORE = [n for n in entry.queries() if n not in ("span_interaction", "span_rows_overlap")]
-
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", CORE)
-def test_no_nested_loops(spark, data, name):
-    text = plan(entry.queries()[name](spark, data))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "BatchEvalPython" not in text  # no row-at-a-time Python
-
-
 def test_filters_and_columns_reach_the_scan(spark, data):
     from factloom.operators import facts
     from factloom.plans.catalog import func
