@@ -56,7 +56,7 @@ def units(messages: DataFrame) -> DataFrame:
     return pick(
         shred(messages, ["delivery_id"], "payload", shape(keep)),
         of("unit"),
-        {"unit_pos": F.element_at("at", 1), "kind": F.when(F.col("table").startswith("func"), "func").otherwise("clazz"), **{c: c for c in plain}, "def_line": "defLine:int", **points},
+        {"unit_pos": F.get("at", F.lit(0)), "kind": F.when(F.col("table").startswith("func"), "func").otherwise("clazz"), **{c: c for c in plain}, "def_line": "defLine:int", **points},
     )
 
 
@@ -65,5 +65,5 @@ def typed(messages: DataFrame, child: str) -> DataFrame:
     return pick(
         shred(messages, ["delivery_id"], "payload", shape(frozenset({"name", "type"}))),
         of(child),
-        {"unit_pos": F.element_at("at", 1), "pos": F.element_at("at", 2), "name": "name", "type": "type"},
+        {"unit_pos": F.get("at", F.lit(0)), "pos": F.get("at", F.lit(1)), "name": "name", "type": "type"},
     )

@@ -438,10 +438,10 @@ def star_graph(spark, d):
 DEPTH = 2
 
 
-def _walk(column: str, depth: int = DEPTH) -> str:
+def _walk(column: str, depth: int = DEPTH, starts: str = "func_tag") -> str:
     return f"""with recursive e as (select repo_id, rev_hash, signature node, list_distinct(list_filter({column}, lambda x: x is not null)) nxt from (select *, row_number() over (partition by repo_id, rev_hash, signature order by path, span.start.row, span.end.row, {column}) rn from rel_funcctx where signature is not null) where rn = 1),
 w(repo_id, rev_hash, start, node, chain) as (
- select distinct repo_id, rev_hash, signature, signature, cast([] as varchar[]) from func_tag
+ select distinct repo_id, rev_hash, signature, signature, cast([] as varchar[]) from {starts}
  union all select repo_id, rev_hash, start, s, list_append(chain, s) from (select w.*, unnest(e.nxt) s from w join e on e.repo_id = w.repo_id and e.rev_hash = w.rev_hash and e.node = w.node where len(w.chain) <= {depth}) where not list_contains(chain, s)),
 ends as (select w.repo_id, w.rev_hash, w.start, w.chain from w left join e on e.repo_id = w.repo_id and e.rev_hash = w.rev_hash and e.node = w.node where len(w.chain) > {depth} or e.nxt is null or len(e.nxt) = 0)"""
 
@@ -465,6 +465,17 @@ def chain_prefixes(spark, d):
     return chains.prefixes(_chains(spark, d)).select(*SCOPE, "start", F.array_join("chain", " > ").alias("chain"), "depth")
 
 
+_CHANGED = f"(select f.repo_id, f.rev_hash, f.signature from fact_func f join {_REQUESTS} r on {_SAME_FILE} and {_hit('f.span', 'r.lines')})"
+
+
+@query(_walk("reverse_calls", DEPTH, _CHANGED) + " select distinct repo_id, rev_hash, start, chain[-1] as reached from ends where len(chain) > 0")
+def diff_impact(spark, d):
+    """What calls the functions of changed lines in the end, callers followed to a bounded depth."""
+    changed = facts.with_lines(func(spark, d), requests(spark, d)).select(*SCOPE, "signature").distinct()
+    up = chains.chains(ctx(spark, d), changed, DEPTH, reverse=True).filter(F.size("chain") > 0)
+    return up.select(*SCOPE, "start", F.try_element_at("chain", F.lit(-1)).alias("reached")).distinct()
+
+
 # ---- changes and history ----
 
 
