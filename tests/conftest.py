@@ -13,7 +13,7 @@ DATA = os.environ.get("TEST_DATA", "/root/testdata/sf0.001")
 def spark(tmp_path_factory):
     from factloom.runtime import importable, session
 
-    s = session(4, 4, **{"spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.driver.memory": "4g"})
+    s = session(4, 4, **{"spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.driver.memory": "4g", "spark.sql.maxMetadataStringLength": "2000"})
     importable(s)
     yield s
     s.stop()
