@@ -34,13 +34,15 @@ class Reference:
     """Column ``column`` of table ``child`` (a value or an array of values) names rows of ``parent``.
 
     ``scope`` are the columns that child and parent have in common; with the referring value they
-    make up the parent's key, the value being its last column.
+    make up the parent's key, the value being its last column. Where the parent need not hold the
+    row, the reference is ``optional``: no orphan by itself, it only passes on that of its target.
     """
 
     child: str
     column: str
     parent: str
     scope: tuple[str, ...] = ()
+    optional: bool = False
 
 
 @dataclass
@@ -92,7 +94,7 @@ BROADCAST_BYTES = 8 << 20
 
 
 def direct(graph: Graph) -> DataFrame:
-    """References without a target in time: (src_table, src_id, ref_field, key parts..., signature,
+    """Non-optional references without a target in time: (src_table, src_id, ref_field, key parts..., signature,
     at, status).
 
     status: ``late`` if targets exist but all came after the referring record first came,
@@ -107,12 +109,12 @@ def direct(graph: Graph) -> DataFrame:
     problem keys: by broadcast while the measured size of these allows it, else by a shuffle that
     AQE splits where it is skewed.
     """
-    out = None
-    for parent in dict.fromkeys(r.parent for r in graph.references):
+    out, binding = None, [r for r in graph.references if not r.optional]
+    for parent in dict.fromkeys(r.parent for r in binding):
         p = graph.tables[parent]
         names = list(p.key[:-1])
         keyed = lambda df, at: df.select(*names, F.col(p.key[-1]).alias("value"), at).filter(F.col("value").isNotNull())
-        rows = _references(graph, [r for r in graph.references if r.parent == parent])
+        rows = _references(graph, [r for r in binding if r.parent == parent])
         targets = keyed(p.rows, F.col(p.at).alias("at")).select(*_key128(names), "at").groupBy("h1", "h2").agg(F.min("at").alias("came"), F.lit(True).alias("is_there"))
         asked = rows.select(*_key128(names), "at").groupBy("h1", "h2").agg(F.min("at").alias("asked"))
         bad = asked.join(targets, ["h1", "h2"], "left").filter(F.col("is_there").isNull() | (F.col("came") > F.col("asked")))
@@ -175,16 +177,18 @@ def cascade(graph: Graph, max_levels: int | None = None) -> DataFrame:
     return out
 
 
-def report(orphans: DataFrame) -> DataFrame:
-    """Orphans per referring table, field, day and status."""
-    return orphans.groupBy("src_table", "ref_field", F.date_format("at", "yyyy-MM-dd").alias("day"), "status").agg(F.count("*").alias("n_refs"), F.count_distinct("src_id").alias("n_records"))
+def report(orphans: DataFrame, *by: str) -> DataFrame:
+    """Orphans per referring table, field, day and status, and per columns ``by``, such as kind."""
+    return orphans.groupBy("src_table", "ref_field", F.date_format("at", "yyyy-MM-dd").alias("day"), "status", *by).agg(F.count("*").alias("n_refs"), F.count_distinct("src_id").alias("n_records"))
 
 
 def code_graph(func: DataFrame, ctx: DataFrame, tag: DataFrame, drop: DataFrame, calls_between_contexts: bool = False) -> Graph:
     """References of contexts and tags to functions; with ``calls_between_contexts`` also those of
-    a context's calls to the contexts of what it calls, along which orphans are inherited."""
+    a context's calls to the contexts of what it calls, along which orphans are inherited. Not every
+    function has a context, so these are optional."""
     key = ("repo_id", "rev_hash", "signature")
     tables = {"fact_func": Table("fact_func", func, "func_id", key, "ingest_ts"), "rel_funcctx": Table("rel_funcctx", ctx, "ctx_id", key, "ingest_ts"), "func_tag": Table("func_tag", tag, "tag_id", key, "ingest_ts")}
     scope = ("repo_id", "rev_hash")
     refs = [Reference("rel_funcctx", c, "fact_func", scope) for c in ("signature", "calls", "reverse_calls")] + [Reference("func_tag", "signature", "fact_func", scope)]
-    return Graph(tables, refs + [Reference("rel_funcctx", "calls", "rel_funcctx", scope), Reference("func_tag", "signature", "rel_funcctx", scope)] * calls_between_contexts, {"fact_func": drop})
+    deep = [Reference("rel_funcctx", "calls", "rel_funcctx", scope, True), Reference("func_tag", "signature", "rel_funcctx", scope, True)]
+    return Graph(tables, refs + deep * calls_between_contexts, {"fact_func": drop})

@@ -154,7 +154,7 @@ def _graph(spark: SparkSession, d: str, deep: bool = False) -> orphans.Graph:
 
 @query(_REFS + " select src_table, src_id, ref_field, signature, status from o where status is not null")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.cascade(_graph(spark, d)).filter(F.col("kind") == "direct").select("src_table", "src_id", "ref_field", "signature", "status")
+    return orphans.cascade(_graph(spark, d, deep=True)).filter(F.col("kind") == "direct").select("src_table", "src_id", "ref_field", "signature", "status")
 
 
 @query(_REFS + " select src_table, ref_field, strftime(seen, '%Y-%m-%d') as day, status, count(*) n_refs, count(distinct src_id) n_records from o where status is not null group by all")
@@ -162,6 +162,11 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.report(orphans.cascade(_graph(spark, d)))
 
 
+@query()
+def p3_report_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.report(orphans.cascade(_graph(spark, d, deep=True)), "kind")
+
+
 @query()
 def p3_cascade(spark: SparkSession, d: str) -> DataFrame:
     out = orphans.cascade(_graph(spark, d, deep=True))

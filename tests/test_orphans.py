@@ -61,3 +61,19 @@ def test_same_rows_without_broadcast(spark, data, monkeypatch):
     a = as_set(problems.QUERIES["p3_found"](spark, data))
     monkeypatch.setattr(orphans, "BROADCAST_BYTES", -1)
     assert as_set(problems.QUERIES["p3_found"](spark, data)) == a
+
+
+def test_cascade_runs_behind_the_queries(spark, monkeypatch):
+    from factloom.plans import problems
+
+    func = [(1, "r", "v", "a", T0), (2, "r", "v", "b", T0), (3, "r", "v", "no context", T0)]
+    ctx = [(1, "r", "v", "a", ["x"], None, T0), (2, "r", "v", "b", ["a", "no context"], None, T0)]
+    tables = {n: t.rows for n, t in graph(spark, func, ctx).tables.items()} | {"func_drop": spark.createDataFrame([], DROP)}
+    monkeypatch.setattr(problems, "read_table", lambda s, d, name: tables[name])
+    seen, cascade = [], orphans.cascade
+    monkeypatch.setattr(orphans, "cascade", lambda g: seen.append(cascade(g)) or seen[-1])
+    assert as_set(problems.QUERIES["p3_found"](spark, "")) == {("rel_funcctx", 1, "calls", "x", "missing")}
+    assert as_set(seen[0].select("src_id", "kind", "level")) == {(1, "direct", 0), (2, "inherited", 1)}
+    direct = ("rel_funcctx", "calls", "2024-01-01", "missing")
+    assert as_set(problems.QUERIES["p3_report"](spark, "")) == {(*direct, 1, 1)}
+    assert as_set(problems.QUERIES["p3_report_kinds"](spark, "")) == {(*direct, "direct", 1, 1), (*direct[:3], "inherited", "inherited", 1, 1)}
