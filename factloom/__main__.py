@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,14 @@ from factloom.sources.extract import extract
 
 
 def analysed(src: DataFrame, scope: list[str]) -> DataFrame:
-    """Functions of source files with their direct callees and callers."""
-    found = extract(src, "func", [*scope, "path"]).filter("error is null").drop("error")
+    """Functions of source files with their direct callees and callers. Says which files were not
+    parsed, or only in part."""
+    found = extract(src, "func", [*scope, "path"])
+    for r in found.filter("error is not null").select("path", "error").distinct().toLocalIterator():
+        print(f"{r['path']}: {r['error']}", file=sys.stderr)
+    found = found.filter("name is not null").drop("error")
     func = found.withColumn("func_id", F.xxhash64(*scope, names.vertex()))
-    symbols = extract(src, "symbol", [*scope, "path"]).filter("error is null").select(*scope, "path", "symbol", "span")
+    symbols = extract(src, "symbol", [*scope, "path"]).filter("symbol is not null").select(*scope, "path", "symbol", "span")
     return graph.contexts(func, graph.call_edges(func, symbols, scope), scope)
 
 
@@ -32,7 +37,7 @@ def upload(spark: SparkSession, engine: Engine, repo_dir: str, repo_id: str, dep
         ctx = analysed(src, ["repo_id", "rev_hash"])
         engine.upload_functions(ctx.drop("calls", "reverse_calls", "func_id"))
         engine.upload_contexts(ctx.drop("func_id", "returns", "body_span", "extras", "unit_ordinal"))
-        engine.upload_classes(extract(src, "class", ["repo_id", "rev_hash", "path"]).filter("error is null").drop("error"))
+        engine.upload_classes(extract(src, "class", ["repo_id", "rev_hash", "path"]).filter("name is not null").drop("error"))
 
 
 def diff(spark: SparkSession, repo_dir: str, old: str, new: str, thin: bool) -> DataFrame:
@@ -49,7 +54,7 @@ def history_graphs(spark: SparkSession, repo_dir: str, depth: int | None) -> Dat
     out = None
     for c in files.commits(spark, repo_dir, depth).orderBy(F.col("ordinal").desc()).collect():
         src = files.tree(spark, repo_dir, c["rev_hash"]).withColumn("repo_id", F.lit("."))
-        f = extract(src, "func", ["repo_id", "rev_hash", "path"]).filter("error is null")
+        f = extract(src, "func", ["repo_id", "rev_hash", "path"]).filter("name is not null")
         out = f if out is None else out.unionByName(f)
     return history.dot(history.edges(out))
 

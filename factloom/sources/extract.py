@@ -205,8 +205,9 @@ _WHAT = {"func": (FUNCTION, Facts.functions), "class": (CLAZZ, Facts.classes), "
 def extract(files: DataFrame, what: str, keys: list[str], lang: str = "lang", text: str = "text") -> DataFrame:
     """(keys..., facts..., error) of every file: ``what`` is func, class, symbol, call or unit.
 
-    A file that can't be parsed gives one row with ``error`` and no facts, as does one of a language
-    without a parser; null texts give none. Equal texts of a language in one batch are parsed once.
+    A file that can't be parsed, or only in part and without facts there, gives one row with
+    ``error`` and no facts, as does one of a language without a parser; facts of a file parsed in
+    part have its ``error`` beside them. Null texts give none. Equal texts of a language in one batch are parsed once.
     """
     ddl, method = _WHAT[what]
     if what == "call":
@@ -226,7 +227,8 @@ def extract(files: DataFrame, what: str, keys: list[str], lang: str = "lang", te
             for k, (g, x) in enumerate(zip(langs, texts)):
                 if (g, x) not in seen:
                     try:
-                        seen[g, x] = list(method(Facts(x, g))), None
+                        facts = Facts(x, g)
+                        seen[g, x] = list(method(facts)), facts.src.error
                     except ParseError as e:
                         seen[g, x] = [], str(e)
                 found, error = seen[g, x]

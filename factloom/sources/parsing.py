@@ -1,6 +1,6 @@
 """Syntax trees of source files, for the kinds of nodes that facts are made of.
 
-Python is parsed by its own compiler; Go, Java, Kotlin and JavaScript by a scanner of tokens with
+Python is parsed by its own compiler, and by a scanner of indented lines where that fails; Go, Java, Kotlin and JavaScript by a scanner of tokens with
 matched brackets, which finds declarations, calls and identifiers and steps over what it does not
 know. Rows and columns are 0-based, columns count UTF-8 bytes, ends are exclusive.
 """
@@ -53,6 +53,8 @@ class Source:
         self.text = text
         self.lines = [0, *(m.end() for m in re.finditer("\n", text))]
         self.ascii = text.isascii()
+        #: what the compiler says of a text that was only scanned
+        self.error: str | None = None
 
     def point(self, at: int) -> Point:
         row = bisect_right(self.lines, at) - 1
@@ -751,7 +753,8 @@ def parse_python(text: str) -> tuple[Source, Node]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        raise ParseError(str(e)) from None
+        src.error = str(e) or type(e).__name__
+        return src, _scan_python(text)
     starts = src.lines
     # the compiler counts \r and \r\n as line ends, too
     if "\r" in text.replace("\r\n", ""):
@@ -816,6 +819,149 @@ def parse_python(text: str) -> tuple[Source, Node]:
     return src, root
 
 
+_PYTHON_WORDS = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
+#: Words that only begin a statement, whatever bracket is still open before them.
+_PYTHON_STARTS = frozenset("def class return import while try except finally raise pass break continue del global nonlocal assert with".split())
+_PY_LEX = re.compile(
+    r"""(?P<space>[ \t\f\v﻿]+|\\\r?\n|(?:(?<=\n)|\A)(?:<{7}|={7}|>{7}|\|{7})[^\n]*|\{%[^\n]*?%\}|\#[^\r\n]*)|(?P<line>\r\n?|\n)"""
+    r"""|(?P<string>\b[A-Za-z]{0,2}(?:'{3}(?:[^\\]|\\.)*?'{3}|"{3}(?:[^\\]|\\.)*?"{3})|(?:'{3}(?:[^\\]|\\.)*?'{3}|"{3}(?:[^\\]|\\.)*?"{3})|(?:\b[A-Za-z]{1,2})?(?:'(?:[^'\\\r\n]|\\(?:\r\n|.))*'?|"(?:[^"\\\r\n]|\\(?:\r\n|.))*"?))"""
+    r"""|(?P<number>\.?\d[\w.]*)|(?P<name>[^\W\d]\w*)|(?P<punct>\.\.\.|->|:=|[=!<>]=|.)""",
+    re.S,
+)
+
+
+def _py_tokens(text: str, at: int = 0, end: int | None = None) -> Iterator[Token]:
+    fresh, end = True, len(text) if end is None else end
+    while at < end:
+        m = _PY_LEX.match(text, at, end)
+        kind, at = m.lastgroup, m.end()
+        if kind == "line":
+            fresh = True
+        elif kind != "space":
+            yield Token(m[0] if kind == "punct" else kind, m[0], m.start(), at, fresh)
+            fresh = False
+
+
+def _in_fstring(t: Token) -> Iterator[tuple[int, int]]:
+    """Ranges of the expressions in an f-string, those in format specs included."""
+    head = re.match("[A-Za-z]*", t.text)[0]
+    if "f" not in head.lower():
+        return
+    opened: list[int] = []
+    i = len(head)
+    while i < len(t.text):
+        if not opened and t.text[i : i + 2] in ("{{", "}}"):
+            i += 1
+        elif t.text[i] == "{":
+            opened.append(i + 1)
+        elif t.text[i] == "}" and opened:
+            start = opened.pop()
+            if not opened:
+                spec = re.search(r"![rsa]?(?=[:}])|:(?!=)", t.text[start : i + 1])
+                yield t.start + start, t.start + (start + spec.start() if spec else i)
+                if spec:
+                    for m in re.finditer(r"\{([^{}]*)\}", t.text[start + spec.start() : i]):
+                        yield t.start + start + spec.start() + m.start(1), t.start + start + spec.start() + m.end(1)
+        i += 1
+
+
+def _scan_python(text: str) -> Node:
+    """The tree of a text that the compiler rejects: definitions, decorators and identifiers, by
+    indentation. A definition whose brackets stay open is none; what can't be understood is
+    stepped over."""
+    t = list(_py_tokens(text))
+    lines: list[tuple[int, int]] = []  # logical lines, as ranges of tokens
+    pair: dict[int, int] = {}
+    stack: list[int] = []
+    for i, x in enumerate(t):
+        if x.line_before and (not stack or x.text in _PYTHON_STARTS or x.text == "async" and i + 1 < len(t) and t[i + 1].text == "def"):
+            stack.clear()
+            lines.append((i, i))
+        if x.kind in _OPEN:
+            stack.append(i)
+        elif x.kind in _CLOSE and stack and _OPEN[t[stack[-1]].kind] == x.kind:
+            pair[stack.pop()] = i
+        lines[-1] = lines[-1][0], i + 1
+
+    def identifiers(toks: list[Token], parent: Node, parameters: bool = False) -> None:
+        words, inside = [x.text for x in toks[:2]], []
+        if words[:1] in (["import"], ["global"], ["nonlocal"]) or words[:1] == ["from"]:
+            return
+        for i, x in enumerate(toks):
+            before, after = toks[i - 1].kind if i else "", toks[i + 1].kind if i + 1 < len(toks) else ""
+            if x.kind in _OPEN:
+                inside.append(x.kind)
+            elif x.kind in _CLOSE and inside:
+                inside.pop()
+            elif x.kind == "string":
+                for a, b in _in_fstring(x):
+                    identifiers(list(_py_tokens(text, a, b)), parent)
+            elif x.kind != "name" or x.text in _PYTHON_WORDS or words[:1] == ["except"] and i and toks[i - 1].text == "as":
+                continue
+            elif i == 0 and x.text in ("print", "exec") and after in ("string", "name", "number", ">"):
+                continue  # a statement of Python 2
+            else:
+                named = after == "=" and before in ("(", ",") and inside[-1:] == ["("] and not (parameters and len(inside) == 1)
+                parent.add(Node("identifier", x.start, x.end, "attribute" if before == "." else "name" if named else ""))
+
+    def header(a: int, b: int) -> tuple[int, int] | None:
+        """Index of the name and that behind the header of a definition in tokens a to b - 1."""
+        k = a + 1 + (t[a].text == "async")
+        if k >= b or t[k - 1].text not in ("def", "class") or t[k].kind != "name" or t[k].text in _PYTHON_WORDS:
+            return None
+        e = k + 1
+        if e < b and t[e].kind == "[":
+            e = pair.get(e, b) + 1
+        if e < b and t[e].kind == "(":
+            e = pair.get(e, b) + 1
+        elif t[k - 1].text == "def":
+            return None
+        if e > b:
+            return None
+        while e < b and t[e].kind != ":":
+            e = pair.get(e, e) + 1
+        return k, min(e + 1, b)
+
+    root = Node("module", 0, len(text))
+    open_: list[tuple[int, Node, list[Node]]] = []  # indentation, owner and all nodes that end with it
+    decorators: list[tuple[int, int]] = []
+    for a, b in lines:
+        start = max(text.rfind("\n", 0, t[a].start), text.rfind("\r", 0, t[a].start)) + 1
+        indent = len(text[start : t[a].start].expandtabs(8))
+        while open_ and indent <= open_[-1][0]:
+            open_.pop()
+        end = t[b - 1].end
+        for _, own, ends in open_:
+            if own.children[-1].kind != "block":
+                own.add(block := Node("block", t[a].start, end, "body"))
+                ends.append(block)
+            for n in ends:
+                n.end = end
+        parent = open_[-1][1].children[-1] if open_ else root
+        if t[a].kind == "@":
+            decorators.append((a, b))
+            continue
+        if (h := header(a, b)) is None:
+            decorators.clear()
+            identifiers(t[a:b], parent)
+            continue
+        k, e = h
+        own = Node("class_definition" if t[k - 1].text == "class" else "function_definition", t[a].start, end)
+        own.add(Node("identifier", t[k].start, t[k].end, "name"))
+        identifiers(t[k + 1 : e], own, t[k - 1].text == "def")
+        ends = [own]
+        if e < b:
+            own.add(block := Node("block", t[e].start, end, "body"))
+            identifiers(t[e:b], block)
+        if decorators:
+            ends.append(Node("decorated_definition", t[decorators[0][0]].start, end).add(*(Node("decorator", t[x].start, t[y - 1].end) for x, y in decorators), own))
+        parent.add(ends[-1])
+        decorators.clear()
+        if e >= b:
+            open_.append((indent, own, ends))
+    return root
+
+
 #: Parsers by language; :func:`register` adds others.
 PARSERS: dict[str, Callable[[str], tuple[Source, Node]]] = {"GOLANG": parse_go, "JAVA": parse_java, "KOTLIN": parse_kotlin, "JAVASCRIPT": parse_javascript, "PYTHON": parse_python}
 

@@ -290,3 +290,44 @@ def test_git_and_command_line(spark, git, tmp_path):
     assert len(dot) == 2 and all('"m.py"->"//first//"' in x for x in dot)
     assert main(["extract", "--src", git, "--output", str(tmp_path / "out")]) == 0
     assert spark.read.json(str(tmp_path / "out")).filter("name = 'second'").count() == 1
+
+
+def test_python_with_a_syntax_error_keeps_its_facts(spark):
+    broken = PYTHON + "\ndef open_(a, (b:\n    print 'old'\n\nclass After:\n    def kept(self, x=f'{y.z}'):\n        return call(k=1\n\nasync def last(): pass\n"
+    got = extract(spark.createDataFrame([(1, "PYTHON", broken)], "doc_id bigint, lang string, text string"), "func", ["doc_id"]).collect()
+    assert [(r["name"], r["receiver"]) for r in got] == [("top", ""), ("wide", "Box"), ("nested", "Box"), ("go", "Box"), ("kept", "After"), ("last", "")]
+    assert all(r["error"] for r in got) and json.loads(got[0]["extras"])["decorators"] == ["@cached", "@retry(3)"]
+    f = Facts(broken, "PYTHON")
+    assert [c["name"] for c in f.classes()] == ["Box", "After"]
+    assert {("y", ""), ("z", "attribute"), ("k", "name"), ("last", "name")} <= {(x["symbol"], x["field_name"]) for x in f.symbols()}
+
+
+def test_python_scanner_equals_the_compiler(monkeypatch):
+    from factloom.sources import parsing
+
+    text = PYTHON + "\nif x:\n\tclass T(Base, metaclass=M):\n\t\t'd' 'e'\n\t\tdef f(self, *a: int, k: str = '''(\n''') -> dict[str, int]:  # é\n\t\t\treturn [f\"{e!r:>{w}}\", lambda q: q,\n 1]\n"
+
+    def facts():
+        f = Facts(text, "PYTHON")
+        return f.src.error, [sorted(map(str, m())) for m in (f.functions, f.classes, f.symbols)]
+
+    def fail(*_):
+        raise SyntaxError("no")
+
+    error, whole = facts()
+    monkeypatch.setattr(parsing.ast, "parse", fail)
+    assert error is None and facts() == ("no", whole)
+
+
+@pytest.mark.parametrize("text", ["", "async", "@", "def", "def f(:", "class", "'''open", 'f"{', "f'{a:{b}", "def f(x)\n  y\n z", "}}}])", "\0", "\r\n\t(", "@a\n@b\n  def f(): pass\n x"])
+def test_broken_python_does_not_crash(text):
+    f = Facts("1 +\n" + text, "PYTHON")
+    assert f.src.error and [list(m()) is not None for m in (f.functions, f.classes, f.symbols, f.units)]
+
+
+def test_analysed_keeps_files_with_a_syntax_error(spark, capsys):
+    from factloom.__main__ import analysed
+
+    src = spark.createDataFrame([("r", "a.py", "PYTHON", "def kept(): pass\nprint 'x'\n")], "repo_id string, path string, lang string, text string")
+    assert [r["name"] for r in analysed(src, ["repo_id"]).collect()] == ["kept"]
+    assert "a.py: " in capsys.readouterr().err
