@@ -31,7 +31,7 @@ def analysed(src: DataFrame, scope: list[str]) -> DataFrame:
 
 def upload(spark: SparkSession, engine: Engine, repo_dir: str, repo_id: str, depth: int, langs: list[str] | None = None) -> None:
     for c in files.commits(spark, repo_dir, depth).collect():
-        src = files.tree(spark, repo_dir, c["rev_hash"]).withColumn("repo_id", F.lit(repo_id))
+        src = files.tree(spark, repo_dir, c["rev_hash"], everything=True).withColumn("repo_id", F.lit(repo_id))
         src = src.filter(F.col("lang").isin(langs)) if langs else src
         engine.upload_revision(repo_id, c["rev_hash"], c["create_time"])
         ctx = analysed(src, ["repo_id", "rev_hash"])
@@ -41,7 +41,7 @@ def upload(spark: SparkSession, engine: Engine, repo_dir: str, repo_id: str, dep
 
 
 def diff(spark: SparkSession, repo_dir: str, old: str, new: str, thin: bool) -> DataFrame:
-    src = files.tree(spark, repo_dir, new).withColumn("repo_id", F.lit("."))
+    src = files.tree(spark, repo_dir, new, everything=True).withColumn("repo_id", F.lit("."))
     ctx = analysed(src, ["repo_id", "rev_hash"])
     rev = src.select("rev_hash").first()
     patch = spark.createDataFrame([(files.diff(repo_dir, old, new), ".", rev[0] if rev else new)], "text string, repo_id string, rev_hash string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom.functions import names, rules
 from factloom.operators.facts import SUFFIXES, lang_of_path
 
-#: Larger files of a git tree are left out.
+#: Larger files of a git tree are left out, unless all are asked for.
 MAX_BYTES = 1_000_000
 
 
@@ -48,23 +48,24 @@ def commits(spark: SparkSession, repo: str, depth: int | None = None) -> DataFra
     return spark.createDataFrame(rows, "rev_hash string, create_time bigint, ordinal int")
 
 
-def _tree(repo: str, rev: str, suffixes: tuple[str, ...]) -> Iterator[tuple[str, str, str]]:
+def _tree(repo: str, rev: str, suffixes: tuple[str, ...], everything: bool) -> Iterator[tuple[str, str, str]]:
     for line in _git(repo, "ls-tree", "-r", "-l", "-z", rev).decode("utf-8", "replace").split("\0"):
         if not line:
             continue
         meta, path = line.split("\t", 1)
         _, kind, sha, size = meta.split()
-        if kind == "blob" and path.endswith(suffixes) and int(size) <= MAX_BYTES:
+        if kind == "blob" and path.endswith(suffixes) and (everything or int(size) <= MAX_BYTES):
             data = _git(repo, "cat-file", "blob", sha)
-            if b"\0" not in data[:8000]:
+            if everything or b"\0" not in data[:8000]:
                 yield rev, path, data.decode("utf-8", "replace")
 
 
-def tree(spark: SparkSession, repo: str, rev: str = "HEAD", lang: str | None = None) -> DataFrame:
-    """(rev_hash, path, text, lang) of the source files of one revision, without large and binary ones."""
+def tree(spark: SparkSession, repo: str, rev: str = "HEAD", lang: str | None = None, everything: bool = False) -> DataFrame:
+    """(rev_hash, path, text, lang) of the source files of one revision, without large and binary
+    ones unless ``everything`` is asked for."""
     suffixes = tuple(s for s, x in SUFFIXES.items() if lang in (None, x))
     name = _git(repo, "rev-parse", rev).decode().strip()
-    rows = list(_tree(repo, name, suffixes))
+    rows = list(_tree(repo, name, suffixes, everything))
     return spark.createDataFrame(rows, "rev_hash string, path string, text string").withColumn("lang", lang_of_path("path"))
 
 

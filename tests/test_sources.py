@@ -331,3 +331,20 @@ def test_analysed_keeps_files_with_a_syntax_error(spark, capsys):
     src = spark.createDataFrame([("r", "a.py", "PYTHON", "def kept(): pass\nprint 'x'\n")], "repo_id string, path string, lang string, text string")
     assert [r["name"] for r in analysed(src, ["repo_id"]).collect()] == ["kept"]
     assert "a.py: " in capsys.readouterr().err
+
+
+def test_upload_and_diff_take_large_files(spark, git, tmp_path):
+    from pathlib import Path
+
+    from factloom.__main__ import diff, history_graphs, upload
+    from factloom.api import Engine
+
+    (Path(git) / "large.py").write_text("def large():\n    pass\n" + "# x\n" * 300_000)
+    for a in (["add", "-A"], ["-c", "user.name=t", "-c", "user.email=t@t", "commit", "-qm", "large"]):
+        subprocess.run(["git", "-C", git, *a], check=True, capture_output=True)
+    e = Engine(spark, str(tmp_path / "store"))
+    upload(spark, e, git, "r", 1)
+    rev = files.commits(spark, git, 1).first()["rev_hash"]
+    assert e.context("r", rev, "||large||").count() == 1
+    assert ("large.py", "||large||") in as_set(diff(spark, git, "HEAD~1", "HEAD", True).select("path", "signature"))
+    assert not any("large" in r["dot"] for r in history_graphs(spark, git, 1).collect())
