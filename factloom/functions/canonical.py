@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.functions.jsonstream import CLOSE, END, KEY, LIST, NULL, OPEN, TEXT, events
+
 
 def pruned(value: object) -> object:
     """The value without what counts as absent: null, empty text, empty list, empty object.
@@ -34,9 +36,41 @@ def canonical_text(text: str | None) -> str | None:
         return None
     try:
         value = pruned(json.loads(text))
-    except (ValueError, RecursionError):
+        return None if value is None else json.dumps(value, sort_keys=True, separators=(",", ":"))
+    except RecursionError:
+        return _canonical_stream(text)
+    except ValueError:
+        return "!" + text
+
+
+def _canonical_stream(text: str) -> str | None:
+    """The same for values nested deeper than the stack allows, built from the inside out."""
+    above: list[tuple[int, list | dict]] = [(LIST, [])]
+    key: list[str] = []
+    try:
+        for kind, value in events(text):
+            if kind in (OPEN, LIST):
+                above.append((kind, {} if kind == OPEN else []))
+                continue
+            if kind == KEY:
+                key.append(value)
+                continue
+            if kind in (CLOSE, END):
+                inside = above.pop()[1]
+                if kind == CLOSE:
+                    parts = [f"{json.dumps(k)}:{v}" for k, v in sorted(inside.items()) if v is not None]
+                    done = "{" + ",".join(parts) + "}" if parts else None
+                else:
+                    done = "[" + ",".join("null" if v is None else v for v in inside) + "]" if inside else None
+            else:
+                done = None if kind == NULL or kind == TEXT and not value else json.dumps(value if kind == TEXT else pruned(json.loads(value)))
+            if above[-1][0] == OPEN:
+                above[-1][1][key.pop()] = done
+            else:
+                above[-1][1].append(done)
+    except ValueError:
         return "!" + text
-    return None if value is None else json.dumps(value, sort_keys=True, separators=(",", ":"))
+    return above[0][1][0]
 
 
 def _hash(text: str | None) -> int:

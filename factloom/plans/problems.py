@@ -43,7 +43,9 @@ u as (select delivery_id, kind, cast(unit_pos as int) unit_pos, u,
 _LISTS = (
     _UNITS
     + """,
-c as (select delivery_id, unit_pos, 'parameter' child, json_extract(u, '$.parameters') v from u
+c as (select delivery_id, unit_pos, 'modifier' child, json_extract(e, '$.modifiers') v from u
+      union all select delivery_id, unit_pos, 'interface', json_extract(e, '$.implements') from u
+      union all select delivery_id, unit_pos, 'parameter' child, json_extract(u, '$.parameters') v from u
       union all select delivery_id, unit_pos, 'return', json_extract(u, '$.returns') from u
       union all select delivery_id, unit_pos, 'annotation', json_extract(e, '$.annotations') from u
       union all select delivery_id, unit_pos, 'decorator', json_extract(e, '$.decorators') from u
@@ -56,16 +58,22 @@ el as (select delivery_id, unit_pos, child, cast(pos as int) pos, v from x where
 )
 
 
+_OF_FIELDS = """,
+fa as (select delivery_id, unit_pos, pos, 'field_annotation' child, json_extract(v, '$.annotations') a from el where child = 'field'
+       union all select delivery_id, unit_pos, pos, 'field_modifier', json_extract(v, '$.modifiers') from el where child = 'field'),
+fb as (select delivery_id, unit_pos, pos, child, case when json_type(a) = 'ARRAY' then cast(a as json[]) else [a] end xs
+       from fa where a is not null and json_type(a) <> 'NULL'),
+fc as (select delivery_id, unit_pos, pos, child, unnest(xs) a, generate_subscripts(xs, 1) - 1 as sub_pos from fb),
+fd as (select delivery_id, unit_pos, pos, child, cast(sub_pos as int) sub_pos, a from fc where a is not null and json_type(a) <> 'NULL')"""
+
+
 @query(
     _LISTS
-    + """,
-fa as (select delivery_id, unit_pos, pos, json_extract(v, '$.annotations') a from el where child = 'field'),
-fb as (select delivery_id, unit_pos, pos, case when json_type(a) = 'ARRAY' then cast(a as json[]) else [a] end xs
-       from fa where a is not null and json_type(a) <> 'NULL'),
-fc as (select delivery_id, unit_pos, pos, unnest(xs) a, generate_subscripts(xs, 1) - 1 as sub_pos from fb)
+    + _OF_FIELDS
+    + """
 select delivery_id, unit_pos, 'unit' child, -1 pos, -1 sub_pos from u
-union all select delivery_id, unit_pos, child, pos, -1 from el
-union all select delivery_id, unit_pos, 'field_annotation', pos, cast(sub_pos as int) from fc where a is not null and json_type(a) <> 'NULL'"""
+union all select delivery_id, unit_pos, child, pos, -1 from el where child not in ('modifier', 'interface')
+union all select delivery_id, unit_pos, child, pos, sub_pos from fd where child = 'field_annotation'"""
 )
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return uploads.elements(read_table(spark, d, "upload_msg"))
@@ -78,6 +86,7 @@ _POINT = "cast(coalesce(json_extract_string(u, '$.{0}.\"$numberLong\"'), json_ex
     _UNITS
     + " select delivery_id, unit_pos, kind, "
     + ", ".join(f"json_extract_string(u, '$.{c}') as {c}" for c in ("name", "receiver", "namespace", "module", "lang"))
+    + ", json_extract_string(e, '$.classInfo.packageName') as class_package, json_extract_string(e, '$.classInfo.className') as class_name, json_extract_string(e, '$.extends') as base"
     + ", cast(json_extract_string(u, '$.defLine') as int) def_line, "
     + ", ".join(f"{_POINT.format(f'{p}.{e}.{x}')} as {s}_{e}_{x[:3]}" for s, p in (("span", "span"), ("body", "bodySpan")) for e in ("start", "end") for x in ("row", "column"))
     + " from u"
@@ -95,6 +104,19 @@ for _name, _child in (("p1_parameters", "parameter"), ("p1_returns", "return"),
     SQL[_name], QUERIES[_name] = _typed(_child)
 
 
+def _words(child: str) -> tuple[str, Query]:
+    value = "json_extract_string({0}, '$') as value"
+    if child.startswith("field_"):
+        sql = _LISTS + _OF_FIELDS + f" select delivery_id, unit_pos, pos, sub_pos, {value.format('a')} from fd where child = '{child}'"
+    else:
+        sql = _LISTS + f" select delivery_id, unit_pos, pos, {value.format('v')} from el where child = '{child}'"
+    return sql, lambda spark, d: uploads.words(read_table(spark, d, "upload_msg"), child)
+
+
+for _child in ("annotation", "decorator", "class_annotation", "modifier", "interface", "field_annotation", "field_modifier"):
+    SQL[f"p1_{_child}s"], QUERIES[f"p1_{_child}s"] = _words(_child)
+
+
 # ---- 2: term frequencies ----
 
 _TERMS = """

@@ -40,6 +40,9 @@ def test_canonical_json():
     assert canonical_text("{}") is canonical_text("null") is canonical_text("") is canonical_text(None) is canonical_text("[]") is None
     assert canonical_text('["a",null]') == canonical_text('["a",""]') != canonical_text('["a"]')
     assert canonical_text("{x") == "!{x"
+    deep = '{"b":' * 20_000 + '[1.0,"",{"z":"é","a":null}]' + "}" * 20_000
+    assert canonical_text(deep) == canonical_text(deep.replace("1.0", "1 ")) == '{"b":' * 20_000 + '[1,null,{"z":"\\u00e9"}]' + "}" * 20_000
+    assert canonical_text(deep + "}") == "!" + deep + "}"
 
 
 FUNC = "repo_id string, rev_hash string, path string, signature string, v bigint, chain string, ord int"
