@@ -7,7 +7,7 @@ file, and the wide payloads are read with these vectors applied - they are never
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -50,19 +50,33 @@ def delivered(df: DataFrame, identifier: Column, order: str) -> DataFrame:
     return rows.filter(F.col("_u").isNotNull()).select(*_halves(F.col("_u")), "_order", "_file", "_row")
 
 
+#: Bits of a position's hash in a packed rank, and what makes an order positive.
+_BITS, _SIGN = 62, 1 << 63
+
+
+def _packed(order: Column, file: Column, row: Column) -> Column:
+    """Order and position as one number, which a hash aggregation can keep the least of in place (of
+    a struct it could not): the order in the high bits, a hash of the position below. Null orders
+    come last. Below 2^127, so 38 digits hold it."""
+    wide = lambda c: c.cast("decimal(20,0)")
+    place = F.xxhash64(file, row).bitwiseAND(F.lit((1 << _BITS) - 1))
+    high = F.coalesce(wide(order.cast("bigint")) + F.lit(str(_SIGN)).cast("decimal(20,0)"), F.lit(str(2 * _SIGN)).cast("decimal(20,0)"))
+    return (high.cast("decimal(20,0)") * F.lit(str(1 << _BITS)).cast("decimal(19,0)")).cast("decimal(38,0)") + wide(place)
+
+
 def losers(df: DataFrame, identifier: Column, order: str) -> DataFrame:
     """Positions of all copies but the first: (_order, _first, _file, _row).
 
-    The first is the one with the smallest order; equal or null orders (nulls last) are settled by
-    file and row. Messages without an identifier have no copies.
+    The first is the one with the smallest order, a whole number; equal or null orders (nulls last)
+    are settled by a hash of file and row, the same in every run. Messages without an identifier
+    have no copies.
 
     An identifier that a third of all messages carry is settled by two aggregates: the winner is a
     minimum, found with one row per task, and a loser is any row that isn't the winner.
     """
-    rows = delivered(df, identifier, order)
-    rank = F.struct(F.col("_order").isNull().alias("a"), F.col("_order").alias("b"), F.col("_file").alias("c"), F.col("_row").alias("d"))
-    many = rows.groupBy("u1", "u2").agg(F.min(rank).alias("w"), F.count("*").alias("n")).filter("n > 1").select("u1", "u2", "w")
-    return rows.join(many, ["u1", "u2"]).filter((F.col("_file") != F.col("w.c")) | (F.col("_row") != F.col("w.d"))).select("_order", F.col("w.b").alias("_first"), "_file", "_row")
+    rows = delivered(df, identifier, order).withColumn("_rank", _packed(F.col("_order"), F.col("_file"), F.col("_row")))
+    many = rows.groupBy("u1", "u2").agg(F.min("_rank").alias("_best"), F.min("_order").alias("_first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rows.join(many, ["u1", "u2"]).filter("_rank <> _best").select("_order", "_first", "_file", "_row")
 
 
 def _vector(rows: np.ndarray) -> bytes:
@@ -98,31 +112,40 @@ def deletion_vectors(lost: DataFrame) -> DataFrame:
     return rows.repartition("_file", "_part").sortWithinPartitions("_file", "_part").mapInArrow(build, "_file bigint, _part bigint, _bits binary")
 
 
+def _read_with(df: DataFrame, vectors: DataFrame, columns: Sequence[str], dead: bool) -> DataFrame:
+    """The named columns of ``df``'s rows, read from its files with the vectors applied: those that
+    live, or those that are ``dead``."""
+    vectors = F.broadcast(vectors) if plan_bytes(vectors) <= BROADCAST_BYTES else vectors
+    # the payload's columns stay inside one struct, so their names can't clash
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_all"), *position(df)).withColumn("_part", F.expr(f"_row div {VECTOR}"))
+    hit = rows.join(vectors, ["_file", "_part"], "inner" if dead else "left")
+    at = (F.col("_row") % VECTOR).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    gone = F.coalesce(F.getbit(byte.cast("bigint"), F.pmod(at, F.lit(8))) == 1, F.lit(False))
+    return hit.filter(gone if dead else ~gone).select("_all.*")
+
+
 def keep_first(df: DataFrame, identifier: Column, order: str) -> DataFrame:
     """``df``, read from files, with exactly one copy of each message and all its columns.
 
-    Messages with a null or unreadable identifier all stay. Of equal orders the first by file and
-    row stays, null orders come last; rows repeated in full are copies like any other. An empty
-    table gives no row, and columns may have any names.
+    Messages with a null or unreadable identifier all stay. Of equal orders the first by a hash of
+    file and row stays, null orders come last; rows repeated in full are copies like any other. An
+    empty table gives no row, and columns may have any names.
 
     The deletion vectors are small beside the payloads; they are broadcast while their measured
     size allows it, else joined by file.
     """
     vectors = materialize(deletion_vectors(losers(df, identifier, order)), "deletion-vectors")
-    vectors = F.broadcast(vectors) if plan_bytes(vectors) <= BROADCAST_BYTES else vectors
-    # the payload's columns stay inside one struct, so their names can't clash
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_all"), *position(df)).withColumn("_part", F.expr(f"_row div {VECTOR}"))
-    hit = rows.join(vectors, ["_file", "_part"], "left")
-    at = (F.col("_row") % VECTOR).cast("int")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    dead = F.coalesce(F.getbit(byte.cast("bigint"), F.pmod(at, F.lit(8))) == 1, F.lit(False))
-    return hit.filter(~dead).select("_all.*")
+    return _read_with(df, vectors, df.columns, dead=False)
 
 
 def duplicate_deliveries(messages: DataFrame) -> DataFrame:
-    """Deliveries whose message came before under a smaller delivery_id.
+    """Deliveries whose message came before under a smaller delivery_id, as the deletion vectors of
+    the files give them: what they mark is read, nothing but its delivery_id.
 
     Null and unreadable msg_ids and null delivery_ids give no row; of equal delivery_ids none is
-    smaller. Payloads are not read. An empty table gives no row.
+    smaller. An empty table gives no row.
     """
-    return losers(messages, uuid_hex("msg_id"), "delivery_id").filter(F.col("_order") > F.col("_first")).select(F.col("_order").alias("delivery_id"))
+    lost = losers(messages, uuid_hex("msg_id"), "delivery_id").filter(F.col("_order") > F.col("_first"))
+    vectors = materialize(deletion_vectors(lost), "deletion-vectors")
+    return _read_with(messages, vectors, ["delivery_id"], dead=True)

@@ -40,6 +40,23 @@ def test_one_copy_stays(table, monkeypatch, limit):
     assert sorted((r["delivery_id"] or 0, r["_bits"]) for r in got) == [(d, "b") for d in (1, 3, 4, 6, 7, 8, 10, 11, 12)]
 
 
+@pytest.mark.parametrize("limit", [16 << 20, -1])
+def test_found_deliveries_come_out_of_deletion_vectors(table, monkeypatch, limit):
+    monkeypatch.setattr(dedupe, "BROADCAST_BYTES", limit)
+    seen, real = [], dedupe.deletion_vectors
+    monkeypatch.setattr(dedupe, "deletion_vectors", lambda lost: seen.append(real(lost)) or seen[-1])
+    assert as_set(dedupe.duplicate_deliveries(table(MESSAGES, SCHEMA))) == {(5,), (9,), (2,)}
+    assert sum(bin(b).count("1") for r in seen[0].collect() for b in r["_bits"]) == 3
+
+
+def test_extreme_orders(table):
+    ends = [-(2**63), 2**63 - 1, 0, None, -1]
+    df = table(rows(*((d, str(U[0])) for d in ends)), SCHEMA)
+    assert as_set(dedupe.duplicate_deliveries(df)) == {(2**63 - 1,), (0,), (-1,)}
+    assert [r["delivery_id"] for r in dedupe.keep_first(df, dedupe.uuid_hex("msg_id"), "delivery_id").collect()] == [-(2**63)]
+    assert "SortAggregate" not in dedupe.losers(df, dedupe.uuid_hex("msg_id"), "delivery_id")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_identifier(table):
     df = table([(i, str(U[0]), "p", "", 0, 0, "", "") for i in range(5000)], SCHEMA)
     assert dedupe.duplicate_deliveries(df).count() == 4999
