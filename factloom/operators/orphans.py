@@ -3,7 +3,8 @@
 Tables refer to each other through a graph of foreign keys. A reference whose target is missing,
 deleted or late is a direct orphan, and the record that holds it is an orphaned record. The fixpoint
 cascade then goes down the graph: records that refer to orphaned records are indirectly orphaned,
-found by one semi-join per level until a level adds none.
+found by one semi-join per level until a level adds none. All of that runs on hashes of keys; texts
+are read again for the orphans only.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.keyfilter import join_keys
 from factloom.operators.keys import hash64
 from factloom.runtime import materialize, plan_bytes
 
@@ -57,7 +59,7 @@ def _is_list(df: DataFrame, c: str) -> bool:
     return df.schema[c].dataType.typeName() == "array"
 
 
-def _named(values: Column, field_name: str) -> Column:
+def _tagged(values: Column, field_name: str) -> Column:
     return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(field_name).alias("ref_field"), v.cast("string").alias("value")))
 
 
@@ -75,7 +77,7 @@ def _references(graph: Graph, refs: Sequence[Reference]) -> DataFrame:
         lists = []
         for r in (r for r in refs if r.child == child):
             values = F.array_distinct(r.column) if _is_list(t.rows, r.column) else F.array(r.column)
-            lists.append(_named(values, r.column))
+            lists.append(_tagged(values, r.column))
         scope = next(r.scope for r in refs if r.child == child)
         one = t.rows.select(F.lit(t.name).alias("src_table"), F.col(t.id).alias("src_id"), *(F.col(c).alias(n) for c, n in zip(scope, names)), F.col(t.at).alias("at"), F.explode(F.concat(*lists)).alias("r"))
         one = one.select("src_table", "src_id", "r.ref_field", *names, "r.value", "at").filter(F.col("value").isNotNull())
@@ -83,7 +85,7 @@ def _references(graph: Graph, refs: Sequence[Reference]) -> DataFrame:
     return out
 
 
-def _key128(names: Sequence[str]) -> list[Column]:
+def _key128(names: Sequence[str | Column]) -> list[Column]:
     """The key as two independent 64-bit hashes. At 10^12 distinct keys the odds that any two
     agree in both are about 10^-15, so equality of the pair stands for equality of the key."""
     return [hash64(*names, "value").alias("h1"), hash64(F.lit(1), *names, "value").alias("h2")]
@@ -106,8 +108,8 @@ def direct(graph: Graph) -> DataFrame:
 
     The search for problem keys shuffles only hashes and times, aggregated on both sides before the
     shuffle, so a hot key is one row per task on either side. References are then joined to the
-    problem keys: by broadcast while the measured size of these allows it, else by a shuffle that
-    AQE splits where it is skewed.
+    problem keys: by broadcast while the measured size of these allows it, else by a shuffle of the
+    references that pass a filter of the keys.
     """
     out, binding = None, [r for r in graph.references if not r.optional]
     for parent in dict.fromkeys(r.parent for r in binding):
@@ -124,8 +126,7 @@ def direct(graph: Graph) -> DataFrame:
         else:
             bad = bad.withColumn("gone", F.lit(None).cast("boolean"))
         bad = materialize(bad.select("h1", "h2", "came", "is_there", "gone"), "problem-keys")
-        bad = F.broadcast(bad) if plan_bytes(bad) <= BROADCAST_BYTES else bad
-        hit = rows.select("*", *_key128(names)).join(bad, ["h1", "h2"])
+        hit = join_keys(rows, _key128(names), bad, BROADCAST_BYTES)
         once = hit.groupBy("src_table", "src_id", "ref_field", *names, F.col("value").alias("signature")).agg(F.min("at").alias("at"), F.first("came").alias("came"), F.first("is_there").alias("is_there"), F.first("gone").alias("gone"))
         status = F.when(F.col("is_there").isNull(), F.when(F.col("gone"), "deleted").otherwise("missing")).when(F.col("came") > F.col("at"), "late")
         one = once.withColumn("status", status).filter(F.col("status").isNotNull()).drop("came", "is_there", "gone")
@@ -133,48 +134,75 @@ def direct(graph: Graph) -> DataFrame:
     return out
 
 
+def _down(graph: Graph) -> list[Reference]:
+    """The references to records that refer to others themselves."""
+    return [r for r in graph.references if any(r.parent == x.child for x in graph.references)]
+
+
+def _narrow(graph: Graph, down: Sequence[Reference]) -> tuple[DataFrame, DataFrame]:
+    """(src_table, src_id, h1, h2) of the records that are referred to and (src_table, src_id,
+    ref_field, h1, h2) of the references to them: the graph in hashes, read once from the tables."""
+    nodes = edges = None
+    for parent in dict.fromkeys(r.parent for r in down):
+        p = graph.tables[parent]
+        names = list(p.key[:-1])
+        keyed = p.rows.select(F.lit(p.name).alias("src_table"), F.col(p.id).alias("src_id"), *names, F.col(p.key[-1]).alias("value")).filter(F.col("value").isNotNull())
+        n = keyed.select("src_table", "src_id", *_key128([F.lit(parent), *names]))
+        e = _references(graph, [r for r in down if r.parent == parent]).select("src_table", "src_id", "ref_field", *_key128([F.lit(parent), *names]))
+        nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
+    return materialize(nodes.distinct(), "referred-records"), materialize(edges, "references")
+
+
 def cascade(graph: Graph, max_levels: int | None = None) -> DataFrame:
     """Direct and inherited orphans: the columns of :func:`direct` plus ``kind`` and ``level``.
 
     Level 0 holds the direct orphans. A reference to a record orphaned at level n is an inherited
-    orphan of level n + 1 with status ``inherited``; a record counts at its smallest level only.
-    The loop ends when no referring record is new, or at once where no table refers to one that
-    holds orphans. Each level is written to the shared folder, so that neither lineage nor the loss
-    of an executor grows with the number of levels.
+    orphan of level n + 1 with status ``inherited``; a record counts at its smallest level only, and
+    one with a null id passes nothing on. The loop ends when no referring record is new, or at once
+    where no table refers to one that holds orphans.
+
+    The fixpoint runs on hashes and record ids alone; the texts of inherited orphans are read once
+    at the end, and only where they are asked for. Each level is written to the shared folder, so
+    that neither lineage nor the loss of an executor grows with the number of levels.
     """
     level0 = direct(graph).withColumns({"kind": F.lit("direct"), "level": F.lit(0)})
-    down = [r for r in graph.references if any(r.parent == x.child for x in graph.references)]
+    down = _down(graph)
     if not down:
         return level0
     found = materialize(level0, "orphans")
-    seen = found.select("src_table", "src_id").distinct()
-    frontier, level, levels = seen, 0, [found]
+    nodes, edges = _narrow(graph, down)
+    record, key = ["src_table", "src_id"], ["h1", "h2"]
+    seen = found.select(*record).distinct()
+    frontier, level, levels = seen, 0, []
     while max_levels is None or level < max_levels:
         level += 1
-        steps = None
-        for r in down:
-            p = graph.tables[r.parent]
-            names = list(p.key[:-1])
-            lost = p.rows.select(F.col(p.id).alias("src_id"), *names, F.col(p.key[-1]).alias("value")).join(frontier.filter(F.col("src_table") == p.name).select("src_id"), "src_id", "left_semi").select(*names, "value").distinct()
-            rows = _references(graph, [r])
-            same = rows["value"] == lost["value"]
-            for n in names:
-                same &= rows[n].eqNullSafe(lost[n])
-            hit = rows.join(lost, same, "left_semi")
-            steps = hit if steps is None else steps.unionByName(hit, allowMissingColumns=True)
-        names = [c for c in steps.columns if c not in ("src_table", "src_id", "ref_field", "value", "at")]
-        fresh = steps.join(seen, ["src_table", "src_id"], "left_anti").withColumnRenamed("value", "signature")
-        fresh = fresh.groupBy("src_table", "src_id", "ref_field", *names, "signature").agg(F.min("at").alias("at")).withColumns({"status": F.lit("inherited"), "kind": F.lit("inherited"), "level": F.lit(level)})
-        fresh = materialize(fresh, f"orphans-{level}")
+        lost = materialize(nodes.join(frontier, record, "left_semi").select(*key).distinct(), f"lost-{level}")
+        hit = edges.join(F.broadcast(lost) if plan_bytes(lost) <= BROADCAST_BYTES else lost, key, "left_semi")
+        fresh = materialize(hit.join(seen, record, "left_anti").distinct().withColumn("level", F.lit(level)), f"inherited-{level}")
         if fresh.isEmpty():
             break
         levels.append(fresh)
-        frontier = fresh.select("src_table", "src_id").distinct()
+        frontier = fresh.select(*record).distinct()
         seen = materialize(seen.unionByName(frontier), f"orphaned-{level}")
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+    for k, part in enumerate(levels):
+        levels[0] = levels[0].unionByName(part) if k else part
+    return found.unionByName(_named(graph, down, levels[0]), allowMissingColumns=True) if levels else found
+
+
+def _named(graph: Graph, down: Sequence[Reference], inherited: DataFrame) -> DataFrame:
+    """Inherited orphans with their keys' texts."""
+    keys = materialize(inherited.select("h1", "h2").distinct(), "inherited-keys")
+    out = None
+    for parent in dict.fromkeys(r.parent for r in down):
+        names = list(graph.tables[parent].key[:-1])
+        rows = join_keys(_references(graph, [r for r in down if r.parent == parent]), _key128([F.lit(parent), *names]), keys, BROADCAST_BYTES)
+        own = inherited.select(*(F.col(c).alias(f"_{c}") for c in ("src_table", "src_id", "ref_field", "h1", "h2")), "level")
+        same = rows["src_id"].eqNullSafe(own["_src_id"])
+        for c in ("src_table", "ref_field", "h1", "h2"):
+            same &= rows[c] == own[f"_{c}"]
+        one = rows.join(own, same).groupBy("src_table", "src_id", "ref_field", *names, F.col("value").alias("signature"), "level").agg(F.min("at").alias("at"))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out.withColumns({"status": F.lit("inherited"), "kind": F.lit("inherited")})
 
 
 def report(orphans: DataFrame, *by: str) -> DataFrame:

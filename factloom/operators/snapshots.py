@@ -2,7 +2,8 @@
 
 Rows are reduced to a key hash and a row hash and bucketed by key, so that all snapshots of a key
 meet in one task. There the arrays are sorted in numpy, and the differences of every two
-consecutive snapshots come from searchsorted. Full values are read again only for keys that differ.
+consecutive snapshots come from searchsorted. Full values are read again only for keys that differ:
+by a broadcast of these, or behind a filter of them, so the other rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.canonical import json_value_hash
+from factloom.operators.keyfilter import join_keys
 from factloom.operators.keys import hash64
 from factloom.runtime import materialize, plan_bytes
 
@@ -98,12 +100,14 @@ def snapshot_changes(rows: DataFrame, revisions: DataFrame, chain: Sequence[str]
     compact = rows.select(rid.alias("rid"), kid.alias("key"), row_hash.alias("row")).join(_bounded(known), "rid").select("chain", "ord", "n", "key", "row")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / ROWS_PER_BUCKET))
     found = compact.repartition(buckets, "chain", "key").mapInArrow(_differences, "chain bigint, ord int, key bigint, change tinyint, source int")
-    side = lambda prefix: revs.select("chain", F.col("ord").alias(f"{prefix}_ord"), F.col(snapshot[-1]).alias(f"{prefix}_rev"))
-    # the revision whose row is read again, then the full key of the differing rows only
+    # the names of both revisions are put to the differing keys while these are a few longs
+    side = lambda prefix, order: revs.select("chain", order.alias("from_ord"), F.col(snapshot[-1]).alias(f"{prefix}_rev"))
     sources = revs.select("chain", F.col("ord").alias("source"), hash64(*snapshot).alias("rid"))
-    differing = materialize(found.join(_bounded(sources), ["chain", "source"]).select("rid", "key", "chain", F.col("ord").alias("from_ord"), (F.col("ord") + 1).alias("to_ord"), "change"), "differing-keys")
-    full = rows.select(rid.alias("rid"), kid.alias("key"), *(F.col(c).alias(f"_f{i}") for i, c in enumerate((chain[0], *key)))).join(_bounded(differing), ["rid", "key"])
-    named = full.join(_bounded(side("from")), ["chain", "from_ord"]).join(_bounded(side("to")), ["chain", "to_ord"])
+    differing = found.withColumnRenamed("ord", "from_ord").join(_bounded(sources), ["chain", "source"])
+    differing = differing.join(_bounded(side("from", F.col("ord"))), ["chain", "from_ord"]).join(_bounded(side("to", F.col("ord") - 1)), ["chain", "from_ord"])
+    differing = materialize(differing.select("rid", "key", "from_rev", "to_rev", "change"), "differing-keys")
+    # then the full key of the differing rows only
+    named = join_keys(rows.select(*(F.col(c).alias(f"_f{i}") for i, c in enumerate((chain[0], *key))), rid.alias("_rid"), kid.alias("_kid")), [F.col("_rid"), F.col("_kid")], differing, BROADCAST_BYTES)
     change = F.element_at(F.array(*(F.lit(c) for c in CHANGES)), F.col("change").cast("int") + 1)
     return named.select(F.col("_f0").alias(chain[0]), "from_rev", "to_rev", *(F.col(f"_f{i + 1}").alias(c) for i, c in enumerate(key)), change.alias("change")).distinct()
 

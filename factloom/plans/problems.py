@@ -170,6 +170,27 @@ o as (select r.*, case when t.signature is null then case when g.signature is no
   left join g on r.repo_id = g.repo_id and r.rev_hash = g.rev_hash and r.signature = g.signature)"""
 
 
+# smallest levels by an upsert of (record, level), then every reference from a level to the one before
+_CASCADE = (
+    _REFS.replace("with refs", "with recursive refs", 1)
+    + """,
+nodes as (select distinct 'rel_funcctx' src_table, ctx_id src_id, repo_id, rev_hash, signature from rel_funcctx where signature is not null),
+links as (select distinct src_table, src_id, ref_field, repo_id, rev_hash, signature from refs where signature is not null and (ref_field = 'calls' or src_table = 'func_tag')),
+steps as (select distinct l.src_table, l.src_id, n.src_table to_table, n.src_id to_id from links l join nodes n on n.repo_id is not distinct from l.repo_id and n.rev_hash is not distinct from l.rev_hash and n.signature = l.signature),
+lost(src_table, src_id, level) using key (src_table, src_id) as (
+  select distinct src_table, src_id, 0 from o where status is not null
+  union
+  select distinct s.src_table, s.src_id, w.level + 1 from lost w join steps s on s.to_table = w.src_table and s.to_id = w.src_id
+  where not exists (select 1 from recurring.lost k where k.src_table = s.src_table and k.src_id = s.src_id)),
+inh as (select distinct l.src_table, l.src_id, l.ref_field, l.repo_id, l.rev_hash, l.signature, a.level from lost a join links l on l.src_table = a.src_table and l.src_id = a.src_id
+  join nodes n on n.repo_id is not distinct from l.repo_id and n.rev_hash is not distinct from l.rev_hash and n.signature = l.signature
+  join lost b on b.src_table = n.src_table and b.src_id = n.src_id and b.level = a.level - 1 where a.level > 0),
+every as (select src_table, src_id, ref_field, repo_id, rev_hash, signature, seen, status, 'direct' kind, 0 level from o where status is not null
+ union all select i.src_table, i.src_id, i.ref_field, i.repo_id, i.rev_hash, i.signature, r.seen, 'inherited', 'inherited', i.level from inh i join r on r.src_table = i.src_table and r.src_id = i.src_id and r.ref_field = i.ref_field
+   and r.repo_id is not distinct from i.repo_id and r.rev_hash is not distinct from i.rev_hash and r.signature = i.signature)"""
+)
+
+
 def _graph(spark: SparkSession, d: str, deep: bool = False) -> orphans.Graph:
     return orphans.code_graph(*(read_table(spark, d, t) for t in ("fact_func", "rel_funcctx", "func_tag", "func_drop")), calls_between_contexts=deep)
 
@@ -184,12 +205,12 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.report(orphans.cascade(_graph(spark, d)))
 
 
-@query()
+@query(_CASCADE + " select src_table, ref_field, strftime(seen, '%Y-%m-%d') as day, status, kind, count(*) n_refs, count(distinct src_id) n_records from every group by all")
 def p3_report_kinds(spark: SparkSession, d: str) -> DataFrame:
     return orphans.report(orphans.cascade(_graph(spark, d, deep=True)), "kind")
 
 
-@query()
+@query(_CASCADE + " select src_table, src_id, ref_field, repo_id, rev_hash, signature, status, kind, level from every")
 def p3_cascade(spark: SparkSession, d: str) -> DataFrame:
     out = orphans.cascade(_graph(spark, d, deep=True))
     return out.select("src_table", "src_id", "ref_field", "repo_id", "rev_hash", "signature", "status", "kind", "level")
@@ -198,7 +219,29 @@ def p3_cascade(spark: SparkSession, d: str) -> DataFrame:
 # ---- 5: snapshot differences ----
 
 
-@query()
+# extras as the sorted leaves of their JSON trees, without what counts as absent
+_CHANGES = """
+with plain as (select distinct extras from fact_func where extras is not null),
+tree as (select p.extras, t.fullkey k, t.type y, t.atom a, case when t.type = 'ARRAY' then json_array_length(p.extras, t.fullkey) end n
+  from (select extras from plain where json_valid(extras)) p, json_tree(p.extras) t),
+canon as (select extras, string_agg(case when y = 'ARRAY' then k || '#' || n when y in ('DOUBLE', 'BIGINT', 'UBIGINT') then k || '=' || cast(cast(a as double) as varchar) else k || '=' || a end, chr(10) order by k) c
+  from tree where n > 0 or a is not null and not (y = 'VARCHAR' and a = '""') group by extras
+  union all select extras, '!' || extras from plain where not json_valid(extras) and extras <> ''),
+vers as (select f.repo_id, f.rev_hash, f.path, f.signature, md5(cast(row(coalesce(name, ''), coalesce(receiver, ''), coalesce(namespace, ''), coalesce(lang, ''),
+    list_transform(coalesce(parameters, []), lambda x: row(x is null, coalesce(x.type, ''), coalesce(x.name, ''))), list_transform(coalesce(returns, []), lambda x: row(x is null, coalesce(x.type, ''), coalesce(x.name, ''))),
+    def_line, span.start.row, span.start.column, span.end.row, span.end.column, body_span.start.row, body_span.start.column, body_span.end.row, body_span.end.column, c.c) as varchar)) v
+  from fact_func f left join canon c on c.extras = f.extras),
+one as (select repo_id, rev_hash, path, signature, min(v) v from vers group by all),
+o as (select r.repo_id, r.rev_hash, r.branch, row_number() over (partition by r.repo_id, r.branch order by min(r.create_time) nulls first, r.rev_hash) k
+  from rev_info r where exists (select 1 from fact_func f where f.repo_id = r.repo_id and f.rev_hash = r.rev_hash) group by r.repo_id, r.rev_hash, r.branch),
+pairs as (select distinct a.repo_id, a.rev_hash from_rev, b.rev_hash to_rev from o a join o b on a.repo_id = b.repo_id and a.branch = b.branch and b.k = a.k + 1),
+x as (select p.repo_id, p.from_rev, p.to_rev, f.path, f.signature, f.v, null w from pairs p join one f on f.repo_id = p.repo_id and f.rev_hash = p.from_rev
+  union all select p.repo_id, p.from_rev, p.to_rev, t.path, t.signature, null, t.v from pairs p join one t on t.repo_id = p.repo_id and t.rev_hash = p.to_rev),
+y as (select repo_id, from_rev, to_rev, path, signature, max(v) v, max(w) w from x group by all)
+select repo_id, from_rev, to_rev, path, signature, case when v is null then 'added' when w is null then 'removed' else 'changed' end as change from y where v is distinct from w"""
+
+
+@query(_CHANGES)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.function_changes(read_table(spark, d, "fact_func"), read_table(spark, d, "rev_info"))
 
