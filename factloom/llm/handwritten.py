@@ -1,15 +1,16 @@
 """Source files that nobody wrote by hand: generated, minified, copied from third parties, or data.
 
-One automaton holds all generation notices and machine idioms and reads each text once; path rules
-name generated and vendored folders, lockfiles and minified suffixes; layout tells minified text,
-tables of literals and text repeated from a template; five-word shingles tell copies of published
-packages, adapted ones included.
+Automata find the words of generation notices and of third-party headers, which count by the grammar
+of their sentence (:mod:`factloom.llm.notices`), and the names that only generators use; path rules
+name generated and vendored folders, lockfiles and minified suffixes; layout tells minified text and
+tables of literals; five-word shingles tell copies of published packages, adapted ones included.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,99 +18,75 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm import notices
 from factloom.runtime import materialize, plan_bytes, spread
 
 KINDS = ("generated", "minified", "vendored", "data")
 
-#: Phrases of generation notices, in lower case, found in a comment at either end.
-NOTICES = (
-    "code generated by",
-    "generated by the protocol buffer",
-    "automatically generated by",
-    "this file was automatically generated",
-    "this file is automatically generated",
-    "auto-generated file",
-    "autogenerated by",
-    "auto-generated by",
-    "@generated",
-    "machine written. edit",
-    "machine generated",
-    "automatiquement par",
-    "automatisch erzeugt durch",
-    "automatisch generiert",
-    "generado automáticamente",
-    "gerado automaticamente",
-    "do not edit this file",
-)
-#: Phrases that a package puts into its own files.
-PACKAGE_NOTICES = ("see the notice shipped with", "redistribution is allowed when this notice")
-#: Idioms that only code generators write, and how often a text must have them.
-IDIOMS = ("bitfield0_", "_descriptor.field(", "jspb.getfield(", "jspb.message", "yy.s(", ": jj_", "m != nil {\n\t\treturn m.")
-IDIOM_HITS = 3
-#: Annotations that mark generated classes, wherever they stand.
-ANNOTATIONS = ("@generated(",)
+#: Names that only the output of public code generators uses (protocol buffers, gRPC,
+#: parser and binding generators, bundlers), in lower case. A text needs IDIOM_HITS of them, and one
+#: in IDIOM_LINES lines.
+IDIOMS = (
+    "bitfield0_", "_descriptor.field", "_descriptor.enum", "_serialized_start", "jspb.", "proto.internal.", "protoimpl.", "com.google.protobuf.generatedmessage", "xxx_unrecognized",
+    "jj_", "yypact", "yytable", "yydefact", "yy_current_state", "_serializedatn", "_atn.", "$$[$0", "yytransition", "zend_parse_", "swigtype_p_", "__pyx_", "_cgo_",
+    "__webpack_require__", "_interoprequire", "regeneratorruntime", "__esmodule", "qt_static_metacall", "qt_meta_", "dagger.internal.", "internal_static_",
+)
+IDIOM_HITS, IDIOM_LINES = 3, 25
+#: Getters as the protocol buffer compiler writes them for Go.
+_getters = re.compile(r"^func \((\w+) \*\w+\) Get\w+\(\) [^\n]*\{\s*if \1 != nil \{\s*return \1\.", re.M)
+#: Annotations that mark generated classes, where a line begins with them.
+_annotated = re.compile(r"^\s*(?:@(?:[\w.]+\.)?Generated\s*\(|\[(?:[\w.]+\.)?GeneratedCode(?:Attribute)?\s*\()", re.M)
 
 #: Folders that hold generated files, and folders of third-party packages.
-GENERATED_PATH = r"(^|/)(build/generated|target/generated-sources|generated-sources|generated-src|gen|internal/autogen|autogen|out/stubs|__generated__)/"
-GENERATED_NAME = r"(\.pb\.(go|cc|h)|_pb2\.pyi?|_pb2_grpc\.py|_pb\.(js|d\.ts)|\.g\.(js|kt|dart|cs)|\.generated\.\w+|_gen\.\w+|_deepcopy\.go|ProtoOuter\.java|Grpc\.java|Binding\.generated\.kt|(^|/)(mock_|zz_)[^/]*\.go)$"
+GENERATED_PATH = r"(^|/)(build/generated|target/generated-sources|generated-sources|generated-src|gen|autogen|__generated__)/"
+GENERATED_NAME = r"(\.pb\.(go|cc|h)|_pb2\.pyi?|_pb2_grpc\.py|_pb\.(js|d\.ts)|\.g\.(js|kt|dart|cs)|\.generated\.\w+|_gen\.\w+|_deepcopy\.go|OuterClass\.java|Grpc\.java|(^|/)(mock_|zz_)[^/]*\.go)$"
 VENDORED_PATH = r"(^|/)(vendor|_vendor|third_party|third-party|node_modules|bower_components|Godeps/_workspace|extern|deps|site-packages)/"
 LOCK_NAME = r"(^|/)(package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|Pipfile\.lock|Cargo\.lock|Gemfile\.lock|composer\.lock|go\.sum|gradle\.lockfile)$"
 MINIFIED_NAME = r"\.(min|bundle|prod\.min)\.(js|css|mjs)$"
 DATA_PATH = r"(^|/)[^/]+\.(csv|tsv|parquet|svg|geojson|ipynb)$"
 
-#: Lines at either end in which a notice counts.
-END_LINES = 10
 #: Share of a text in lines longer than LONG_LINE, and their white space at most, that make it minified.
 LONG_LINE, LONG_SHARE, LONG_SPACE = 200, 0.8, 0.15
 #: Mean length of a line and share of white space of minified text that is wrapped.
 WRAPPED_LINE, WRAPPED_SPACE = 80, 0.08
 #: Share of a text in lines of nothing but literals that makes it data.
 DATA_SHARE = 0.6
-#: Share of lines that repeat a template of up to PERIODS lines, and lines needed to judge it.
-PERIODS, PERIOD_SHARE, PERIOD_LINES = 5, 0.75, 10
+#: Share of lines that are rows of a numbered table which makes a text one, rows needed, and how many
+#: forms the rows have at most.
+TABLE_SHARE, TABLE_ROWS, TABLE_FORMS = 0.6, 8, 2
 #: Words of a shingle, and the share of a text's shingles that one published file must hold. The
 #: copies may be adapted, so what counts is how much of the text is taken over.
 SHINGLE, COPIED = 5, 0.6
 #: Bytes on disk up to which the published files' shingles are broadcast.
 BROADCAST_BYTES = 16 << 20
 
-_comment = re.compile(r"^﻿?\s*(//|#|/\*|\*|--|;|\"\"\"|'''|<!--|%)")
 _literal_line = re.compile(r"""(?:\s*(?:[rbuRBU]?"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?[fFlLuU]*)|true|false|null|None|nil)?\s*[,;:\[\](){}+]*\s*)+""")
 _word = re.compile(r"\w+")
-_mask = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\d+|[^\W\d_]+")
+_row = re.compile(r"\s*(?:case\s+(\d+)\s*:|[\w.$]+\[(\d+)\]\s*=|(\d+)\s*(?:->|=>|:)\s)(.*)")
+_digits = re.compile(r"\d+")
 _KEPT: dict[str, object] = {}
 
 
 def automaton():
-    """The automaton over all phrases, kept per worker; its values are the phrases' kinds."""
+    """The automaton over all idioms, kept per worker."""
     if "automaton" not in _KEPT:
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for kind, phrases in (("notice", NOTICES), ("package", PACKAGE_NOTICES), ("idiom", IDIOMS), ("annotation", ANNOTATIONS)):
-            for p in phrases:
-                a.add_word(p, kind)
+        for p in IDIOMS:
+            a.add_word(p, p)
         a.make_automaton()
         _KEPT["automaton"] = a
     return _KEPT["automaton"]
 
 
-def phrases(text: str, lines: list[str]) -> set[str]:
-    """Which kinds of phrases the text has where they count."""
-    low, found, idioms, starts = text.lower(), set(), 0, None
-    hits = list(automaton().iter(low)) if len(low) == len(text) else [(0, k) for p, k in automaton().items() if p in low]
-    for end, kind in hits:
-        if kind == "idiom":
-            idioms += 1
-        elif kind == "annotation":
-            found.add("annotation")
-        else:
-            if starts is None:
-                starts = np.cumsum([0, *(len(x) + 1 for x in lines)])
-            at = int(np.searchsorted(starts, end, "right")) - 1
-            if (at < END_LINES or at >= len(lines) - END_LINES) and _comment.match(lines[at]):
-                found.add(kind)
-    return found | ({"idiom"} if idioms >= IDIOM_HITS else set())
+def has_idioms(text: str, n_lines: int) -> bool:
+    """Whether a text is as full of one generator's names as only its output is."""
+    need = max(IDIOM_HITS, n_lines / IDIOM_LINES)
+    found: dict[str, int] = {}
+    for _, p in automaton().iter(text.lower()):
+        found[p] = found.get(p, 0) + 1
+    return any(n >= need for n in found.values()) or "!= nil" in text and len(_getters.findall(text)) >= need
 
 
 def literal_share(lines: list[str]) -> float:
@@ -122,14 +99,21 @@ def literal_share(lines: list[str]) -> float:
     return literal / total if total else 0.0
 
 
-def template_share(lines: list[str]) -> float:
-    """The largest share of lines that equal, with words and numbers masked, the line a fixed
-    distance before."""
-    masked = [_mask.sub(lambda m: "0" if m[0][0].isdigit() else m[0][:2] if len(m[0]) < 5 else "w", x) for x in lines if x.strip()]
-    n = len(masked)
-    if n < PERIOD_LINES:
+def table_share(lines: list[str]) -> float:
+    """Share of lines that are rows of a numbered table, as parser and lexer generators write them:
+    numbers that count up one by one, each with an entry of numbers and numbered names in one of a
+    few forms. A list of named constants is none, nor is a switch with code of its own per case."""
+    rows, filled = [], 0
+    for x in lines:
+        if x.strip():
+            filled += 1
+            if (m := _row.match(x)) and _digits.search(m[4]):
+                rows.append((int(m[1] or m[2] or m[3]), _digits.sub("0", x)))
+    if len(rows) < TABLE_ROWS:
         return 0.0
-    return max(sum(a == b for a, b in zip(masked, masked[p:])) / (n - p) for p in range(1, PERIODS + 1) if n > 2 * p)
+    up = sum(b[0] == a[0] + 1 for a, b in zip(rows, rows[1:])) + 1
+    forms = sorted(Counter(f for _, f in rows).values(), reverse=True)
+    return min(up, sum(forms[:TABLE_FORMS])) / filled
 
 
 def is_minified(lines: list[str]) -> bool:
@@ -148,16 +132,14 @@ def text_kind(text: str) -> str | None:
     if not text or text.isspace():
         return None
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    got = phrases("\n".join(lines), lines)
-    if got & {"notice", "annotation", "idiom"}:
+    said = notices.origin(lines)
+    if said == "generated" or _annotated.search(text) or has_idioms(text, len(lines)):
         return "generated"
     if literal_share(lines) >= DATA_SHARE:
         return "data"
     if is_minified(lines):
         return "minified"
-    if template_share(lines) >= PERIOD_SHARE:
-        return "generated"
-    return "vendored" if "package" in got else None
+    return "generated" if table_share(lines) >= TABLE_SHARE else said
 
 
 def path_kind(path: str | Column) -> Column:

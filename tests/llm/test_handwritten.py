@@ -70,8 +70,9 @@ def test_empty_tables(spark):
 
 
 def test_long_texts(spark):
-    assert handwritten.text_kind("x = 1\n" * 200_000) == "generated"
-    assert handwritten.text_kind("word another third\n" * 3 + "a " * 500_000) in (None, "generated")
+    assert handwritten.text_kind("x = 1\n" * 200_000) is None
+    assert handwritten.text_kind("word another third\n" * 3 + "a " * 500_000) is None
+    assert handwritten.text_kind("# " + "licence text " * 100_000 + "\n# Code generated by protoc. DO NOT EDIT.\n" + HAND) == "generated"
 
 
 def test_functions_of_hand_written_files(spark):
