@@ -1,8 +1,8 @@
 """Text that was decoded with the wrong character encoding.
 
 A multinomial classifier over hashed byte bigrams tells which chain of encodings a line went
-through. It is trained on a bounded sample of the corpus's own lines, garbled synthetically by every
-chain. A line that is predicted to be garbled counts only if the chain can be inverted strictly,
+through. It is trained by the tasks on a bounded sample of the corpus's own lines, garbled
+synthetically by every chain. A line that is predicted to be garbled counts only if the chain can be inverted strictly,
 piece by piece, and the result reads as sound text.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.keys import hash64
-from factloom.runtime import spread
+from factloom.runtime import materialize, spread
 
 #: Documents with non-ASCII text that the classifier is trained on, at most.
 SAMPLE_DOCS = 4000
@@ -29,8 +29,8 @@ SAMPLE_LINES = 20_000
 LINE_CHARS = 2_000
 #: Hash buckets of byte bigrams, and the weight of a bigram never seen.
 BUCKETS, UNSEEN = 1 << 15, 0.05
-#: What a chain must gain over sound text (log likelihood), and how many of the best are tried.
-MARGIN, TRIED = 3.0, 4
+#: What a chain must gain over sound text (log likelihood); for the lines to train on, it is more.
+MARGIN, CLEAN_MARGIN = 3.0, 8.0
 #: What a chain from UTF-8 must gain for a line that it explains but that can't be inverted.
 CERTAIN = 25.0
 #: Share of such a line's bytes that must be whole characters still.
@@ -148,28 +148,68 @@ class Model:
         return np.bincount(owner, self.weights[0][bucket], len(lines)) / np.maximum(n, 1)
 
 
-def fit(lines: list[str]) -> Model:
-    """A classifier of sound lines and of the same lines garbled by every chain."""
-    names = [SOUND, *CHAINS]
-    counts = np.zeros((len(names), BUCKETS))
-    for c, name in enumerate(names):
+def counts(lines: list[str]) -> np.ndarray:
+    """Bigrams per class and bucket: of the lines as they are and as every chain leaves them."""
+    out = np.zeros((1 + len(CHAINS), BUCKETS), np.int64)
+    for c, name in enumerate([SOUND, *CHAINS]):
         own = lines if c == 0 else [g for x in lines if (g := garble(x, name))]
         if own:
-            counts[c] = np.bincount(bigrams(own)[0], minlength=BUCKETS)
-    weights = np.log(counts + UNSEEN) - np.log(counts.sum(1, keepdims=True) + UNSEEN * BUCKETS)
-    return Model(names, weights.astype(np.float32))
+            out[c] = np.bincount(bigrams(own)[0], minlength=BUCKETS)
+    return out
+
+
+def weigh(n: np.ndarray) -> Model:
+    weights = np.log(n + UNSEEN) - np.log(n.sum(1, keepdims=True) + UNSEEN * BUCKETS)
+    return Model([SOUND, *CHAINS], weights.astype(np.float32))
+
+
+def fit(lines: list[str]) -> Model:
+    """A classifier of sound lines and of the same lines garbled by every chain."""
+    return weigh(counts(lines))
+
+
+def fit_table(lines: DataFrame) -> Model:
+    """The same for a table of lines: the tasks garble and count, only sums per bucket come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 + len(CHAINS), BUCKETS), np.int64)
+        for b in batches:
+            total += counts(b.column(0).to_pylist())
+        c, k = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[c, k])], names=["c", "k", "n"])
+
+    # at most classes times buckets rows
+    sums = spread(lines.select("line")).mapInArrow(run, "c int, k int, n bigint").groupBy("c", "k").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros((1 + len(CHAINS), BUCKETS), np.int64)
+    total[sums["c"].to_numpy(), sums["k"].to_numpy()] = sums["n"].to_numpy()
+    return weigh(total)
+
+
+#: Chains whose strict inversion alone tells a line from sound text.
+_WEST = ("utf-8 as cp1252", "utf-8 as cp1250", "utf-8 as cp437", "utf-8 as cp850")
+
+
+def _may_be_sound(line: str) -> bool:
+    return LOST not in line and not re.search(r"[\x80-\x9f]", line) and not any(invert(m[0], c) for m in _high.finditer(line) for c in _WEST)
 
 
-def clean(lines: list[str]) -> list[str]:
+def clean(lines: DataFrame) -> DataFrame:
     """The lines that neither a strict inversion nor a first model holds for garbled."""
-    west = ("utf-8 as cp1252", "utf-8 as cp1250", "utf-8 as cp437", "utf-8 as cp850")
-    lines = [x for x in lines if LOST not in x and not re.search(r"[\x80-\x9f]", x)]
-    lines = [x for x in lines if not any(invert(m[0], c) for m in _high.finditer(x) for c in west)]
-    return [x for x, v in zip(lines, judge(lines, fit(lines), 8.0)) if not v.chain] if lines else lines
 
+    def keep(test):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(test(b.column(0).to_pylist()), pa.bool_()))
 
-def sample_lines(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_lines: int = SAMPLE_LINES) -> list[str]:
-    """Distinct lines with non-ASCII text of a bounded sample, the same for the same documents.
+        return run
+
+    first = materialize(spread(lines.select("line")).mapInArrow(keep(lambda xs: [_may_be_sound(x) for x in xs]), "line string"), "lines")
+    sent = lines.sparkSession.sparkContext.broadcast(fit_table(first))
+    return first.mapInArrow(keep(lambda xs: [not v.chain for v in judge(xs, sent.value, CLEAN_MARGIN)] if xs else []), "line string")
+
+
+def sample(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_lines: int = SAMPLE_LINES) -> DataFrame:
+    """(line): distinct lines with non-ASCII text of a bounded sample, the same for the same documents.
 
     Documents are drawn by a hash of their id, about three times as many as are kept, so that no
     task sees more than that however large the corpus is. Lines longer than LINE_CHARS are not
@@ -180,11 +220,11 @@ def sample_lines(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_lines: int =
     drawn = docs.filter(h < span * 3 * max_docs // n) if n > 3 * max_docs else docs
     picked = drawn.filter(F.col("text").rlike(r"[^\x00-\x7F]")).select(h.alias("h"), "text").orderBy("h", "text").limit(max_docs)
     lines = picked.select(F.explode(F.split("text", r"[\r\n]+")).alias("line")).filter(F.col("line").rlike(r"[^\x00-\x7F]") & (F.length("line") <= LINE_CHARS)).distinct()
-    return [r[0] for r in lines.orderBy(F.xxhash64("line"), "line").limit(max_lines).collect()]
+    return lines.orderBy(F.xxhash64("line"), "line").limit(max_lines)
 
 
 def train(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_lines: int = SAMPLE_LINES) -> Model:
-    return fit(clean(sample_lines(docs, max_docs, max_lines)))
+    return fit_table(clean(materialize(sample(docs, max_docs, max_lines), "sampled-lines")))
 
 
 def _quoted(line: str, start: int, end: int, restored: str) -> bool:
@@ -207,9 +247,7 @@ def judge(lines: list[str], model: Model, margin: float = MARGIN) -> list[Verdic
     broken: dict[int, str] = {}
     for i, x in enumerate(lines):
         if not out[i].chain:
-            for c in np.argsort(-scores[i])[:TRIED]:
-                if c == 0 or scores[i, c] < scores[i, 0] + margin:
-                    break
+            for c in _ranked(x, scores[i], model, margin):
                 if (got := _restore(x, model.names[c])) is not None:
                     if got != QUOTED:
                         tried.append((i, model.names[c], got))
@@ -230,21 +268,48 @@ def judge(lines: list[str], model: Model, margin: float = MARGIN) -> list[Verdic
     return out
 
 
+def _ranked(line: str, scores: np.ndarray, model: Model, margin: float) -> list[int]:
+    """The chains that gain enough over sound text, best first. One from UTF-8 that inverts a longer
+    line in full goes before chains that invert anything."""
+    able = [c for c in np.argsort(-scores) if scores[c] >= scores[0] + margin and c]
+    if able and not model.names[able[0]].startswith("utf-8") and len(line) - len(_high.sub("", line)) >= 2 * WEIGHTY:
+        for c in able:
+            if model.names[c].startswith("utf-8") and all(got is not None for *_, got in _runs(line, model.names[c])):
+                return [c, *able]
+    return able
+
+
+def _cut_short(tail: str, read: str) -> bool:
+    """Whether the bytes behind ``tail``, the end of a run, stop inside a UTF-8 character."""
+    try:
+        data = to_bytes(tail[-3:], read)
+    except UnicodeError:
+        return False
+    for back, b in enumerate(reversed(data), 1):
+        if b >= 0xC0:
+            return back < (2 if b < 0xE0 else 3 if b < 0xF0 else 4)
+        if b < 0x80:
+            return False
+    return False
+
+
 def _runs(line: str, chain: str) -> Iterator[tuple[int, int, str | None]]:
-    """Start, end and inverted text of each run of other than ASCII characters. A run that lacks a
-    no-break space which became a blank is taken together with it and with the run behind it."""
-    at = 0
+    """Start, end and inverted text of each run of other than ASCII characters. A run that stops
+    inside a character lacks a no-break space which became a blank: it goes on behind that, as often
+    as it takes."""
+    at, read = 0, CHAINS[chain][-1][1]
     while m := _high.search(line, at):
-        start, at = m.span()
-        got, text, end = invert(m[0], chain), m[0], at
-        while got is None and line[end : end + 1] == " " and len(text) < 64:
+        start, end = m.span()
+        parts = [m[0]]
+        while line[end : end + 1] == " " and _cut_short(parts[-1], read):
             more = _high.match(line, end + 1)
-            text, end = text + "\xa0" + (more[0] if more else ""), more.end() if more else end + 1
-            got = invert(text, chain)
-            if not more:
-                break
-        at = end if got is not None else at
-        yield start, at, got
+            parts.append("\xa0" + (more[0] if more else ""))
+            end = more.end() if more else end + 1
+        got = invert("".join(parts), chain)
+        if got is None and len(parts) > 1:  # what can be inverted without it
+            got, end = invert(m[0], chain), m.end()
+        yield start, end, got
+        at = end
 
 
 def _restore(line: str, chain: str) -> str | None:
@@ -289,7 +354,7 @@ def _by_piece(lines: list[str], out: list[Verdict], model: Model, margin: float)
     for places, s in zip(found.values(), model.scores(list(found))):
         i, a, b = places[0]
         run = lines[i][a:b]
-        for c in np.argsort(-s)[:TRIED]:
+        for c in np.argsort(-s):
             if c == 0 or s[c] < s[0] + margin:
                 break
             if model.names[c].startswith("utf-8") and (got := invert(run, model.names[c])):
@@ -304,6 +369,42 @@ def _by_piece(lines: list[str], out: list[Verdict], model: Model, margin: float)
         out[i] = Verdict(hits[0][3], text)
 
 
+def _by_document(texts: list[list[str]], verdicts: dict[str, Verdict], model: Model, margin: float) -> dict[tuple[int, str], Verdict]:
+    """Verdicts on lines too short to show a chain between one-byte encodings by themselves, from the
+    evidence of all such lines of their document together: by (document, line).
+
+    The chain is one that longer lines of the document went through, or the best of those that the
+    short lines as a whole show by the rules for a single line.
+    """
+    found: list[tuple[int, list[str], str, list[str]]] = []
+    for r, lines in enumerate(texts):
+        short = [x for x in dict.fromkeys(lines) if not x.isascii() and x not in verdicts and len(x) - len(_high.sub("", x)) < WEIGHTY]
+        if short:
+            known = list(dict.fromkeys(v.chain for x in lines if (v := verdicts.get(x)) and v.text is not None and not v.chain.startswith("utf-8")))
+            found.append((r, short, " ".join(short), known))
+    if not found:
+        return {}
+    scores = model.scores([f[2] for f in found])
+    tried: list[tuple[int, str, str, float]] = []
+    for k, (_, _, whole, known) in enumerate(found):
+        better = [model.names[c] for c in np.argsort(-scores[k]) if scores[k, c] >= scores[k, 0] + margin and c and not model.names[c].startswith("utf-8")]
+        enough = sum(c > "\x7f" and not c.isspace() for c in whole) >= WEIGHTY
+        for chain, gain in ([(c, 0.0) for c in known if c in better] + [(c, BETTER) for c in better]) * enough:
+            if (got := invert(whole, chain)) is not None and got != whole:
+                tried.append((k, chain, got, gain))
+    out: dict[tuple[int, str], Verdict] = {}
+    if tried:
+        was, now = model.soundness([found[k][2] for k, *_ in tried]), model.soundness([t[2] for t in tried])
+        done = set()
+        for (k, chain, _, gain), w, n in zip(tried, was, now):
+            if k not in done and n > w + gain:
+                done.add(k)
+                for x in found[k][1]:
+                    if (got := invert(x, chain)) is not None and got != x:
+                        out[found[k][0], x] = Verdict(chain, got)
+    return out
+
+
 def restore(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
     """(doc_id, chains, n_lines, text) of the affected documents.
 
@@ -321,12 +422,15 @@ def restore(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
             split = {r: t.split("\n") for r, t in enumerate(texts) if t and not t.isascii()}
             lines = list(dict.fromkeys(x for ls in split.values() for x in ls if not x.isascii()))
             verdicts = {x: v for x, v in zip(lines, judge(lines, model, margin)) if v.chain} if lines else {}
+            order = list(split)
+            short = _by_document([split[r] for r in order], verdicts, model, margin) if split else {}
             rows: list[tuple] = []
-            for r, ls in split.items():
-                hit = [verdicts[x] for x in ls if x in verdicts]
+            for k, r in enumerate(order):
+                judged = [verdicts.get(x) or short.get((k, x)) for x in split[r]]
+                hit = [v for v in judged if v]
                 if hit:
                     fixed = any(v.text is not None for v in hit)
-                    text = "\n".join(verdicts[x].text if x in verdicts and verdicts[x].text is not None else x for x in ls) if fixed else None
+                    text = "\n".join(v.text if v and v.text is not None else x for x, v in zip(split[r], judged)) if fixed else None
                     rows.append((r, sorted({v.chain for v in hit}), len(hit), text))
             at, chains, n, fixed = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(chains, pa.list_(pa.string())), pa.array(n, pa.int32()), pa.array(fixed, pa.string())], names=["doc_id", "chains", "n_lines", "text"])
