@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import dedupe, orphans, salted, snapshots, terms, uploads
+from factloom.operators import dedupe, orphans, salted, snapshots, uploads
 from factloom.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,42 +117,6 @@ for _child in ("annotation", "decorator", "class_annotation", "modifier", "inter
     SQL[f"p1_{_child}s"], QUERIES[f"p1_{_child}s"] = _words(_child)
 
 
-# ---- 2: term frequencies ----
-
-_TERMS = """
-with raw as (
-  select 'func_annotation' field, func_id rec, json_extract(extras, '$.annotations') a from fact_func where json_valid(extras)
-  union all select 'clazz_annotation', clazz_id, json_extract(extras, '$.annotations') from fact_clazz where json_valid(extras)),
-one as (select field, rec, case when json_type(a) = 'ARRAY' then cast(a as json[]) else [a] end l from raw where a is not null and json_type(a) <> 'NULL'),
-vals as (
-  select field, row_number() over () rid, rec, list_transform(l, lambda x: json_extract_string(x, '$')) l from one
-  union all select 'value_type', -row_number() over (), func_id,
-    list_concat(coalesce(list_transform(parameters, lambda x: x.type), []), coalesce(list_transform(returns, lambda x: x.type), [])) from fact_func),
-flat as (select field, rid, rec, unnest(l) t from vals),
-clean as (select field, rid, rec, trim(t, chr(32) || chr(9) || chr(10) || chr(13)) term from flat where t is not null),
-per_row as (select field, rid, rec, term, count(*) n from clean where term <> '' group by all),
-per_rec as (select field, rec, term, max(n) n from per_row group by all),
-tot as (select field, count(distinct rec) field_records from per_rec group by field),
-c as (select field, term, count(*) records, cast(sum(n) as bigint) occurrences from per_rec group by all)
-select c.field, c.term, c.records, c.occurrences, t.field_records,
-  case when records <= 5 then 'rare' when records > 0.2 * field_records then 'common' end mark
-from c join tot t on c.field = t.field"""
-
-
-def _terms(spark: SparkSession, d: str) -> DataFrame:
-    return terms.mark(terms.term_counts(terms.code_terms(read_table(spark, d, "fact_func"), read_table(spark, d, "fact_clazz"))))
-
-
-@query(_TERMS)
-def p2_terms(spark: SparkSession, d: str) -> DataFrame:
-    return _terms(spark, d).select("field", "term", "records", "occurrences", "field_records", "mark")
-
-
-@query(f"select field, term, mark from ({_TERMS}) z where mark is not null")
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _terms(spark, d).filter(F.col("mark").isNotNull()).select("field", "term", "mark")
-
-
 # ---- 3: orphan references ----
 
 _REFS = """

@@ -45,13 +45,15 @@ def importable(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a folder below the warehouse is used.
+    Where the session names none, a local session (tests, a laptop) uses a folder below its
+    warehouse; on a cluster that is an error, as no folder is known to be shared.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_factloom"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    if not (master := spark.sparkContext.master).startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_factloom"
 
 
 _written: list[tuple[SparkSession, str]] = []
