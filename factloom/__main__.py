@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factloom.api import Engine
 from factloom.functions import names
 from factloom.operators import facts, graph, history
-from factloom.runtime import session
+from factloom.runtime import materialize, session
 from factloom.sources import files, patches
 from factloom.sources.extract import extract
 
@@ -20,11 +20,11 @@ from factloom.sources.extract import extract
 def analysed(src: DataFrame, scope: list[str]) -> DataFrame:
     """Functions of source files with their direct callees and callers. Says which files were not
     parsed, or only in part."""
-    found = extract(src, "func", [*scope, "path"])
+    found = materialize(extract(src, "func", [*scope, "path"]), "extracted")
     for r in found.filter("error is not null").select("path", "error").distinct().toLocalIterator():
         print(f"{r['path']}: {r['error']}", file=sys.stderr)
     found = found.filter("name is not null").drop("error")
-    func = found.withColumn("func_id", F.xxhash64(*scope, names.vertex()))
+    func = graph.require_unique(materialize(found.withColumn("func_id", F.xxhash64(*scope, names.vertex())), "functions"), scope)
     symbols = extract(src, "symbol", [*scope, "path"]).filter("symbol is not null").select(*scope, "path", "symbol", "span")
     return graph.contexts(func, graph.call_edges(func, symbols, scope), scope)
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import names, rules, spans
 from factloom.operators import chains, facts, graph, history, tree
-from factloom.runtime import read_table
+from factloom.runtime import materialize, read_table
 from factloom.sources import extract, patches
 from factloom.sources import symbols as sym
 from factloom.streaming import ingest
@@ -366,21 +366,29 @@ cand as (select r.repo_id, r.callee_id, f.func_id caller_id, row_number() over (
 edges as (select distinct repo_id, caller_id, callee_id from cand where rn = 1)"""
 
 
-def graph_functions(spark, d) -> DataFrame:
-    """Of each file the functions of the revision that came last, copies once."""
-    one = facts.first_by(func(spark, d), ["func_id"], [F.col("ingest_ts"), F.col("rev_hash")])
-    last = one.groupBy("repo_id", "path").agg(F.max(F.struct("ingest_ts", "rev_hash")).alias("m")).select("repo_id", "path", F.col("m.rev_hash").alias("rev_hash"))
-    return one.join(last, ["repo_id", "path", "rev_hash"])
+def graph_functions(spark, d, keep: bool = False) -> DataFrame:
+    """Of each file the functions of the revision that came last, copies once, without the columns
+    that no graph needs. ``keep`` writes them, for what reads them more than once."""
+    narrow = func(spark, d).select(*SCOPE, "path", "func_id", "unit_ordinal", "name", "signature", "span", "body_span", "ingest_ts")
+    one = facts.first_by(narrow, ["func_id"], [F.col("ingest_ts"), F.col("rev_hash")])
+    last = F.max(F.struct("ingest_ts", "rev_hash")).over(Window.partitionBy("repo_id", "path"))
+    out = one.withColumn("_last", last["rev_hash"]).filter("rev_hash = _last and repo_id is not null and path is not null").drop("_last", "ingest_ts")
+    return materialize(out, "graph-functions") if keep else out
 
 
-def graph_symbols(spark, d) -> DataFrame:
+def graph_tokens(spark, d) -> DataFrame:
+    """Identifiers of source files; a file that is there twice gives its own twice."""
     files_ = docs(spark, d).filter((F.col("source") == "src_file") & F.col("path").isNotNull())
-    s = sym.identifiers(files_, ["repo_id", "path"]).distinct()
+    s = sym.identifiers(files_, ["repo_id", "path"])
     return s.select("repo_id", "path", "symbol", spans.make("row", "col", "row", F.col("col") + F.length("symbol")).alias("span"))
 
 
-def graph_edges(spark, d) -> DataFrame:
-    return graph.call_edges(graph_functions(spark, d), graph_symbols(spark, d))
+def graph_symbols(spark, d) -> DataFrame:
+    return graph_tokens(spark, d).distinct()
+
+
+def graph_edges(spark, d, functions: DataFrame | None = None) -> DataFrame:
+    return graph.call_edges(functions or graph_functions(spark, d, True), graph_tokens(spark, d))
 
 
 @query(f"with {_SYMBOLS} select repo_id, path, symbol, r as row, c as col from sp")
@@ -390,13 +398,13 @@ def symbol_tokens(spark, d):
 
 @query(f"with {_GRAPH_FUNCS}, {_SYMBOLS}, {_INSIDE} select repo_id, path, symbol, r as row, c as col from ins")
 def symbols_in_functions(spark, d):
-    return graph.symbols_in_bodies(graph_functions(spark, d), graph_symbols(spark, d)).select("repo_id", "path", "symbol", F.col("span.start.row").alias("row"), F.col("span.start.column").alias("col"))
+    return graph.symbols_in_bodies(graph_functions(spark, d), graph_tokens(spark, d)).select("repo_id", "path", "symbol", F.col("span.start.row").alias("row"), F.col("span.start.column").alias("col"))
 
 
 @query(f"with {_GRAPH_FUNCS}, {_SYMBOLS}, {_INSIDE}, {_KNOWN} select * from known")
 def name_refs_limited(spark, d):
-    f = graph_functions(spark, d)
-    return graph.names_within_limit(f, graph.symbols_in_bodies(f, graph_symbols(spark, d)))
+    f = graph_functions(spark, d, True)
+    return graph.names_within_limit(f, graph.symbols_in_bodies(f, graph_tokens(spark, d)))
 
 
 _TO_EDGES = f"with {_GRAPH_FUNCS}, {_SYMBOLS}, {_INSIDE}, {_KNOWN}, {_EDGES}"
@@ -424,13 +432,15 @@ b as (select e.repo_id, e.callee_id func_id, array_to_string(list_sort(list(dist
 select f.repo_id, f.func_id, f.signature, coalesce(a.x, '') as calls, coalesce(b.x, '') as reverse_calls from gf f left join a on a.repo_id = f.repo_id and a.func_id = f.func_id left join b on b.repo_id = f.repo_id and b.func_id = f.func_id"""
 )
 def func_context(spark, d):
-    out = graph.contexts(graph_functions(spark, d), graph_edges(spark, d))
+    f = graph_functions(spark, d, True)
+    out = graph.contexts(f, graph_edges(spark, d, f))
     return out.select("repo_id", "func_id", "signature", F.array_join("calls", " ; ").alias("calls"), F.array_join("reverse_calls", " ; ").alias("reverse_calls"))
 
 
 @query(f"{_TO_EDGES}, n as (select e.repo_id, caller_id, callee_id, a.name source, b.name target from edges e join gf a on a.repo_id = e.repo_id and a.func_id = caller_id join gf b on b.repo_id = e.repo_id and b.func_id = callee_id) select repo_id, caller_id as center_id, source, target from n union select repo_id, callee_id, source, target from n")
 def star_graph(spark, d):
-    return graph.star_edges(graph_functions(spark, d), graph_edges(spark, d))
+    f = graph_functions(spark, d, True)
+    return graph.star_edges(f, graph_edges(spark, d, f))
 
 
 # ---- chains over stored contexts ----

@@ -123,3 +123,29 @@ def test_chains_equal_brute_force(spark, seed, depth):
 def test_negative_depth(spark):
     with pytest.raises(ValueError):
         chains.chains(None, None, -1)
+
+
+def test_duplicate_vertices_are_an_error(spark):
+    f = spark.createDataFrame([("r", 1, "p", "|s", 1), ("r", 2, "p", "|s", 2), ("r", 3, "q", "|s", 1)], "repo_id string, func_id bigint, path string, signature string, a int")
+    f = f.withColumn("span", spans.make("a", F.lit(0), "a", F.lit(9)))
+    assert graph.require_unique(f) is f
+    with pytest.raises(ValueError, match="p"):
+        graph.require_unique(f.union(f.filter("func_id = 1").withColumn("func_id", F.lit(9).cast("bigint"))))
+
+
+def test_long_bodies_and_symbols_over_many_rows(spark):
+    func = [("r", 1, "p", 0, "outer", "||outer||", 0, 0, 1000, 0), ("r", 2, "p", 1, "inner", "||inner||", 500, 0, 700, 0)]
+    sym = [("r", "p", "inner", 10, 0, 900, 3), ("r", "p", "outer", 600, 0, 600, 4), ("r", "p", "inner", 1001, 0, 1001, 4), ("r", "p", "inner", 10, 0, 900, 3), ("r", "q", "inner", 1, 0, 1, 4)]
+    f = spark.createDataFrame(func, FUNC).select("*", spans.make("a", "b", "c", "d").alias("span"), spans.make("a", "b", "c", "d").alias("body_span"))
+    s = spark.createDataFrame(sym, SYM).select("repo_id", "path", "symbol", spans.make("a", "b", "c", "d").alias("span"))
+    assert as_set(graph.call_edges(f, s)) == {("r", 1, 2), ("r", 2, 1)}
+    assert graph.symbols_in_bodies(f, s).count() == 2
+
+
+def test_a_graph_reads_its_table_once(spark, data):
+    """func_context writes the functions of the graph and works on these: one scan of fact_func."""
+    from factloom.plans import catalog
+
+    text = catalog.graph_functions(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("fact_func.parquet") == 1
+    assert "fact_func.parquet" not in catalog.func_context(spark, data)._jdf.queryExecution().executedPlan().toString()
