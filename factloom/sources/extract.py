@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.spans import SPAN
+from factloom.operators.facts import SUFFIXES
 from factloom.runtime import spread
 from factloom.sources.parsing import Node, ParseError, Source, parse
 
@@ -23,10 +25,66 @@ UNIT = f"unit_id bigint, parent_id bigint, last_descendant_id bigint, depth int,
 #: Languages whose calls are extracted.
 WITH_CALLS = ("GOLANG", "JAVA")
 
-_FUNCTIONS = {"GOLANG": ("function_declaration", "method_declaration"), "JAVA": ("method_declaration",), "KOTLIN": ("function_declaration",), "JAVASCRIPT": ("function_declaration", "method_definition"), "PYTHON": ("function_definition",)}
-_CLASSES = {"GOLANG": ("type_spec",), "JAVA": ("class_declaration", "enum_declaration", "interface_declaration"), "KOTLIN": ("class_declaration",), "JAVASCRIPT": ("class_declaration",), "PYTHON": ("class_definition",)}
-_BODIES = {"GOLANG": "block", "JAVA": "block", "KOTLIN": "function_body", "JAVASCRIPT": "statement_block", "PYTHON": "block"}
-_PACKAGES = {"GOLANG": ("package_clause", ("package_identifier",)), "JAVA": ("package_declaration", ("scoped_identifier", "identifier")), "KOTLIN": ("package_header", ("identifier",))}
+
+@dataclass(frozen=True)
+class Language:
+    """What facts need to know of a language's trees.
+
+    functions, classes: kinds of nodes that declare one. body: kind of a function's body. package:
+    kind of the node that names the package, and kinds of the name in it. names: kinds of the child
+    that names a declaration. parser: text -> (Source, root Node); None for a built-in one.
+    extractors: own functions Facts -> iterator of rows in place of the general ones, by what they
+    extract (func, class, symbol, call); a row needs only the columns that the language has.
+    """
+
+    functions: tuple[str, ...] = ()
+    classes: tuple[str, ...] = ()
+    body: str = "block"
+    package: tuple[str, tuple[str, ...]] | None = None
+    names: tuple[str, ...] = ("identifier", "field_identifier", "simple_identifier", "property_identifier", "string")
+    parser: Callable[[str], tuple[Source, Node]] | None = None
+    extractors: Mapping[str, Callable[["Facts"], Iterator[dict]]] = field(default_factory=dict)
+
+
+_LANGUAGES: dict[str, Language] = {
+    "GOLANG": Language(("function_declaration", "method_declaration"), ("type_spec",), "block", ("package_clause", ("package_identifier",))),
+    "JAVA": Language(("method_declaration",), ("class_declaration", "enum_declaration", "interface_declaration"), "block", ("package_declaration", ("scoped_identifier", "identifier"))),
+    "KOTLIN": Language(("function_declaration",), ("class_declaration",), "function_body", ("package_header", ("identifier",))),
+    "JAVASCRIPT": Language(("function_declaration", "method_definition"), ("class_declaration",), "statement_block"),
+    "PYTHON": Language(("function_definition",), ("class_definition",), "block"),
+}
+_BUILT_IN = frozenset(_LANGUAGES)
+
+
+def register_language(name: str, suffix: str, language: Language) -> None:
+    """Add a language: files that end with ``suffix`` are parsed by its parser, and its facts are
+    extracted like those of the built-in ones. A name that is there is an error. The parser is sent
+    to the tasks, which must be able to import its module."""
+    if name in _LANGUAGES:
+        raise ValueError(f"{name} is registered already")
+    if language.parser is None:
+        raise ValueError(f"{name} has no parser")
+    _LANGUAGES[name] = language
+    SUFFIXES[suffix] = name
+
+
+def register_extractor(name: str, what: str, rows: Callable[["Facts"], Iterator[dict]]) -> None:
+    """Extract one kind of facts of a registered language by a function of one's own. A second one
+    for the same facts is an error."""
+    if what not in _WHAT:
+        raise ValueError(f"no facts {what}")
+    if name in _BUILT_IN or what in _LANGUAGES[name].extractors:
+        raise ValueError(f"{what} of {name} is registered already")
+    _LANGUAGES[name] = replace(_LANGUAGES[name], extractors={**_LANGUAGES[name].extractors, what: rows})
+
+
+def unregister_language(name: str) -> None:
+    """Take a registered language back; built-in ones stay."""
+    if name in _BUILT_IN:
+        raise ValueError(f"{name} is built in")
+    del _LANGUAGES[name]
+    for suffix in [s for s, n in SUFFIXES.items() if n == name]:
+        del SUFFIXES[suffix]
 
 
 def _span(src: Source, n: Node | None) -> dict | None:
@@ -39,14 +97,17 @@ def _span(src: Source, n: Node | None) -> dict | None:
 class Facts:
     """All facts of one parsed file."""
 
-    def __init__(self, text: str, lang: str) -> None:
+    def __init__(self, text: str, lang: str, language: Language | None = None) -> None:
         self.lang = lang
-        self.src, self.root = parse(text, lang)
+        if (known := language or _LANGUAGES.get(lang)) is None:
+            raise ParseError(f"no parser for {lang}")
+        self.language = known
+        self.src, self.root = parse(text, lang, known.parser)
         self.nodes: list[tuple[Node, list[Node]]] = []
         self._walk(self.root)
         self.package = ""
-        if lang in _PACKAGES and (p := self.root.child(_PACKAGES[lang][0])):
-            self.package = self.src.of(p.child(*_PACKAGES[lang][1]))
+        if known.package and (p := self.root.child(known.package[0])) and (inner := p.child(*known.package[1])):
+            self.package = self.src.of(inner)
 
     def _walk(self, root: Node) -> None:
         todo: list[tuple[Node, list[Node]]] = [(root, [])]
@@ -74,15 +135,16 @@ class Facts:
     def functions(self) -> Iterator[dict]:
         k = 0
         for n, above in self.nodes:
-            if n.kind in _FUNCTIONS[self.lang] and (f := self._function(n, above)):
+            if n.kind in self.language.functions and (f := self._function(n, above)):
                 yield f | {"unit_ordinal": k}
                 k += 1
 
     def _function(self, n: Node, above: list[Node]) -> dict | None:
         lang, of = self.lang, self.src.of
-        name = n.child("identifier", "field_identifier", "simple_identifier", "property_identifier", "string")
-        body = n.child(_BODIES[lang])
-        owner = next((x for x in reversed(above) if x.kind in _CLASSES[lang]), None)
+        if (name := n.child(*self.language.names)) is None:
+            return None
+        body = n.child(self.language.body)
+        owner = next((x for x in reversed(above) if x.kind in self.language.classes), None)
         owner_name = of(x) if owner and (x := owner.child("identifier", "type_identifier")) else None
         parameters: list[dict] | None = None
         returns: list[dict] | None = None
@@ -116,6 +178,10 @@ class Facts:
         elif lang == "JAVASCRIPT" and n.kind == "method_definition":
             receiver = owner_name or ""
             parameters = [{"type": "", "name": of(x)} for x in n.by_field("parameters").all("identifier")] or None
+        elif lang not in _BUILT_IN:
+            receiver = owner_name or ""
+            parameters = self._values(n.by_field("parameters"), "parameter") or None
+            returns = [{"type": of(t), "name": ""}] if (t := n.by_field("result")) else None
         namespace = "" if lang in ("PYTHON", "JAVASCRIPT") else self.package
         line = 0 if n.kind == "method_definition" else self.src.point(name.start)[0] + 1
         types = lambda v: ",".join(x["type"] for x in v or ())
@@ -127,10 +193,10 @@ class Facts:
     def classes(self) -> Iterator[dict]:
         of = self.src.of
         for n, above in self.nodes:
-            if n.kind not in _CLASSES[self.lang] or self.lang == "GOLANG" and not n.child("struct_type"):
+            if n.kind not in self.language.classes or self.lang == "GOLANG" and not n.child("struct_type") or not (own := n.child("identifier", "type_identifier")):
                 continue
-            name = of(n.child("identifier", "type_identifier"))
-            module = self.package if self.lang in _PACKAGES else ""
+            name = of(own)
+            module = self.package
             extras: dict | None = None
             if self.lang == "GOLANG":
                 fields = n.child("struct_type").child("field_declaration_list")
@@ -175,7 +241,7 @@ class Facts:
         for n, above in self.nodes:
             if n.kind not in ("call_expression", "method_invocation"):
                 continue
-            k = next((i for i in range(len(above) - 1, -1, -1) if above[i].kind in _FUNCTIONS[self.lang]), None)
+            k = next((i for i in range(len(above) - 1, -1, -1) if above[i].kind in self.language.functions), None)
             if k is None or not (own := signatures.get(id(above[k])) or self._function(above[k], above[:k])):
                 continue
             signatures[id(above[k])] = own
@@ -210,8 +276,10 @@ def extract(files: DataFrame, what: str, keys: list[str], lang: str = "lang", te
     part have its ``error`` beside them. Null texts give none. Equal texts of a language in one batch are parsed once.
     """
     ddl, method = _WHAT[what]
+    # shipped with the tasks, as a worker knows nothing of what was registered here
+    languages = {n: x for n, x in _LANGUAGES.items() if n not in _BUILT_IN}
     if what == "call":
-        files = files.filter(F.col(lang).isin(*WITH_CALLS))
+        files = files.filter(F.col(lang).isin(*WITH_CALLS, *(n for n, x in languages.items() if "call" in x.extractors)))
     fields = T._parse_datatype_string(ddl).fields
     schema = T.StructType([*(files.schema[k] for k in keys), *fields, T.StructField("error", T.StringType())])
     names = [f.name for f in fields]
@@ -227,8 +295,8 @@ def extract(files: DataFrame, what: str, keys: list[str], lang: str = "lang", te
             for k, (g, x) in enumerate(zip(langs, texts)):
                 if (g, x) not in seen:
                     try:
-                        facts = Facts(x, g)
-                        seen[g, x] = list(method(facts)), facts.src.error
+                        facts = Facts(x, g, languages.get(g))
+                        seen[g, x] = list(facts.language.extractors.get(what, method)(facts)), facts.src.error
                     except ParseError as e:
                         seen[g, x] = [], str(e)
                 found, error = seen[g, x]

@@ -962,21 +962,15 @@ def _scan_python(text: str) -> Node:
     return root
 
 
-#: Parsers by language; :func:`register` adds others.
+#: Built-in parsers by language; others come with a language registered for extraction.
 PARSERS: dict[str, Callable[[str], tuple[Source, Node]]] = {"GOLANG": parse_go, "JAVA": parse_java, "KOTLIN": parse_kotlin, "JAVASCRIPT": parse_javascript, "PYTHON": parse_python}
 
 
-def register(lang: str, parser: Callable[[str], tuple[Source, Node]]) -> None:
-    if lang in PARSERS:
-        raise ValueError(f"{lang} is registered already")
-    PARSERS[lang] = parser
-
-
-def parse(text: str, lang: str) -> tuple[Source, Node]:
-    if lang not in PARSERS:
+def parse(text: str, lang: str, parser: Callable[[str], tuple[Source, Node]] | None = None) -> tuple[Source, Node]:
+    if (parser := parser or PARSERS.get(lang)) is None:
         raise ParseError(f"no parser for {lang}")
     try:
-        return PARSERS[lang](text)
+        return parser(text)
     except ParseError:
         raise
     except (IndexError, KeyError, RecursionError) as e:

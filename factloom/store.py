@@ -6,7 +6,7 @@ partitions, exactly, in all tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import facts
@@ -20,6 +20,14 @@ KEYS = {
     "rev_info": (),
 }
 SCOPE = ["repo_id", "rev_hash"]
+#: Place of a row in the order of delivery within one write: text that sorts.
+SEQ = "_seq"
+
+
+def sequence(*before: Column) -> Column:
+    """A place in the order of delivery: by the columns ``before``, then as the rows stand."""
+    wide = lambda c: F.lpad(c.cast("string"), 20, "0")
+    return F.concat_ws("|", *before, wide(F.monotonically_increasing_id()))
 
 
 class Store:
@@ -41,10 +49,14 @@ class Store:
         return fs.exists(path(self._path(table)))
 
     def write(self, table: str, rows: DataFrame, at=None) -> None:
-        """Upsert: append rows with the time they came. Rows need a repository and a revision."""
+        """Upsert: append rows with the time they came and their place in the order of delivery, which
+        settles two uploads of a key in one write: a column ``_seq`` if there is one, else the order
+        of ``rows``. Rows need a repository and a revision."""
         whole = rows.filter((F.coalesce("repo_id", F.lit("")) != "") & (F.coalesce("rev_hash", F.lit("")) != ""))
         if "ingest_ts" not in whole.columns or at is not None:
             whole = whole.withColumn("ingest_ts", F.current_timestamp() if at is None else F.lit(at))
+        if SEQ not in whole.columns:
+            whole = whole.withColumn(SEQ, sequence())
         whole.repartition(*SCOPE).write.mode("append").partitionBy(*SCOPE).parquet(self._path(table))
 
     def read(self, table: str) -> DataFrame:
@@ -53,7 +65,8 @@ class Store:
         raw = raw.withColumns({c: F.col(c).cast("string") for c in SCOPE})
         if table == "rev_info":
             return raw.groupBy(*SCOPE).agg(F.max("create_time").alias("create_time"), F.max_by("extras", "ingest_ts").alias("extras"))
-        return facts.latest(raw, [*SCOPE, *KEYS[table]], "ingest_ts", "signature")
+        raw = raw if SEQ in raw.columns else raw.withColumn(SEQ, F.lit(None).cast("string"))
+        return facts.latest(raw, [*SCOPE, *KEYS[table]], "ingest_ts", SEQ).drop(SEQ)
 
     def add_tag(self, rows: DataFrame, tag: str) -> None:
         """Tags are a set of their own: they survive another upload of the function."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factloom.functions import names
-from factloom.store import Store
+from factloom.store import SEQ, Store, sequence
 
 _POINT = "struct<row:bigint,column:bigint>"
 _SPAN = f"struct<start:{_POINT},end:{_POINT}>"
@@ -42,29 +42,37 @@ def schema(topic: str) -> str:
 
 
 def messages(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """A stream of the lines of text files; back-pressure is the number of files per batch."""
-    return spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(folder)
+    """A stream of the lines of text files (``value``) and where each came from in time (``came``);
+    back-pressure is the number of files per batch."""
+    raw = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(folder)
+    at = F.col("_metadata.file_modification_time").cast("double") * 1000
+    return raw.select("value", F.concat_ws("|", F.lpad(at.cast("bigint").cast("string"), 20, "0"), "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0")).alias("came"))
 
 
 def decode(batch: DataFrame, topic: str) -> tuple[DataFrame, DataFrame]:
     """(messages, dead letters) of a batch with a column ``value``. What is no JSON, names no
     repository and revision, or holds no result is a dead letter."""
+    more = [c for c in batch.columns if c == SEQ]
     body = {"func": "funcResult", "clazz": "clazzFileResult", "funcctx": "functionContexts"}[topic]
-    m = batch.select("value", F.from_json("value", schema(topic), {"mode": "PERMISSIVE"}).alias("m"))
+    m = batch.select("value", *more, F.from_json("value", schema(topic), {"mode": "PERMISSIVE"}).alias("m"))
     whole = (F.coalesce("m.workspace.repoId", F.lit("")) != "") & (F.coalesce("m.workspace.revHash", F.lit("")) != "") & F.col(f"m.{body}").isNotNull()
-    return m.filter(whole).select("value", "m.*"), m.filter(~F.coalesce(whole, F.lit(False))).select("value")
+    return m.filter(whole).select("value", *more, "m.*"), m.filter(~F.coalesce(whole, F.lit(False))).select("value")
 
 
 def rows(decoded: DataFrame, topic: str) -> DataFrame:
+    """The facts in decoded messages. If these have a place in the order of delivery, so have the
+    facts: that of their message, then that in its list."""
+    more = [F.col(SEQ)] if SEQ in decoded.columns else []
+    placed = [F.concat_ws("|", SEQ, F.lpad(F.col("unit_ordinal").cast("string"), 12, "0")).alias(SEQ)] if more else []
     scope = [F.col("workspace.repoId").alias("repo_id"), F.col("workspace.revHash").alias("rev_hash")]
     if topic == "funcctx":
-        u = decoded.select(*scope, F.explode("functionContexts").alias("u"))
-        u = u.select("repo_id", "rev_hash", "u.*").withColumnsRenamed({"defLine": "def_line", "bodySpan": "body_span"})
+        u = decoded.select(*scope, *more, F.posexplode("functionContexts").alias("unit_ordinal", "u"))
+        u = u.select("repo_id", "rev_hash", *placed, "u.*").withColumnsRenamed({"defLine": "def_line", "bodySpan": "body_span"})
         only = lambda c: F.transform(c, lambda x: x["signature"])
         return u.withColumns({"signature": names.signature(), "calls": only("calls"), "reverse_calls": only("reverseCalls")}).drop("reverseCalls", "returns", "body_span", "extras")
     r = "funcResult" if topic == "func" else "clazzFileResult"
-    u = decoded.select(*scope, F.col(f"{r}.path").alias("path"), F.posexplode(f"{r}.units").alias("unit_ordinal", "u")).filter("u is not null")
-    u = u.select("repo_id", "rev_hash", "path", F.col("unit_ordinal").cast("bigint").alias("unit_ordinal"), "u.*")
+    u = decoded.select(*scope, *more, F.col(f"{r}.path").alias("path"), F.posexplode(f"{r}.units").alias("unit_ordinal", "u")).filter("u is not null")
+    u = u.select("repo_id", "rev_hash", "path", F.col("unit_ordinal").cast("bigint").alias("unit_ordinal"), *placed, "u.*")
     if topic == "func":
         return u.withColumnsRenamed({"defLine": "def_line", "bodySpan": "body_span"}).withColumn("signature", names.signature())
     return u.drop("unit_ordinal").withColumn("signature", names.class_signature())
@@ -77,9 +85,11 @@ def sink(store: Store, topic: str, dead_letters: str) -> Callable[[DataFrame, in
     """What a micro-batch does: the revision first, then the facts, then the dead letters."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        came = [F.coalesce("came", F.lit(""))] if "came" in batch.columns else []
+        batch = batch.withColumn(SEQ, sequence(*came)).persist()
         try:
             good, bad = decode(batch, topic)
+            # all of a batch came at one time; within it the order of delivery decides
             facts = rows(good, topic).withColumn("ingest_ts", F.current_timestamp())
             revs = good.select(F.col("workspace.repoId").alias("repo_id"), F.col("workspace.revHash").alias("rev_hash")).distinct()
             store.write("rev_info", revs.withColumns({"create_time": F.unix_timestamp(), "extras": F.lit(None).cast("string")}))

@@ -11,10 +11,11 @@ TOPICS = {"func": "factloom-func", "funcctx": "factloom-funcctx", "clazz": "fact
 
 
 def messages(spark: SparkSession, servers: str, topic: str, max_offsets: int = 100_000, group: str | None = None) -> DataFrame:
-    """A stream with the column ``value``, as :func:`factloom.streaming.ingest.start` takes it;
-    back-pressure is the number of offsets per batch."""
+    """A stream with the columns ``value`` and ``came`` (offset within a partition, where a producer
+    keeps the messages of a key), as :func:`factloom.streaming.ingest.start` takes it; back-pressure
+    is the number of offsets per batch."""
     r = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", TOPICS[topic]).option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", max_offsets)
-    return (r.option("kafka.group.id", group) if group else r).load().select(F.col("value").cast("string").alias("value"))
+    return (r.option("kafka.group.id", group) if group else r).load().select(F.col("value").cast("string").alias("value"), F.lpad(F.col("offset").cast("string"), 20, "0").alias("came"))
 
 
 def submit(units: DataFrame, servers: str, topic: str) -> None:

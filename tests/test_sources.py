@@ -1,15 +1,18 @@
 import json
 import subprocess
+import sys
 
 import pytest
 from conftest import as_set
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from factloom.functions import spans
 from factloom.operators import facts, history, tree
+from factloom.sources import extract as ext
 from factloom.sources import files, patches
 from factloom.sources.extract import Facts, extract, extract_text
-from factloom.sources.parsing import ParseError, register
+from factloom.sources.parsing import Node, ParseError, Source
 
 GO = """
 package shop
@@ -180,12 +183,75 @@ def test_extract_rows(spark):
     assert extract_text(spark, GO, "GOLANG", "symbol").count() > 10
     with pytest.raises(ValueError):
         extract_text(spark, GO, "GOLANG", "class")
-    with pytest.raises(ValueError):
-        register("PYTHON", None)
     with pytest.raises(ParseError):
         Facts("", "COBOL")
 
 
+def parse_toy(text):
+    """Lines ``unit a.b``, ``type T``, ``fun name(p, q)`` and, indented, ``name(x)``."""
+    src, root, at, inside = Source(text), Node("file", 0, len(text)), 0, None
+    for line in text.split("\n"):
+        end = at + len(line)
+        word = line.split(" ")[-1]
+        name = end - len(word)
+        if line.startswith("unit "):
+            root.add(Node("unit_clause", at, end).add(Node("unit_name", name, end)))
+        elif line.startswith("type "):
+            root.add(Node("type_declaration", at, end).add(Node("identifier", name, end)))
+        elif line.startswith("fun "):
+            opened = text.index("(", at)
+            inside = Node("function_declaration", at, end).add(Node("identifier", at + 4, opened))
+            parameters, p = Node("parameter_list", opened, end, "parameters"), opened + 1
+            for x in text[opened + 1 : end - 1].split(", "):
+                parameters.add(Node("parameter", p, p + len(x)).add(Node("identifier", p, p + len(x), "name")))
+                p += len(x) + 2
+            root.add(inside.add(parameters, body := Node("block", end, end)))
+        elif line.startswith("  "):
+            body.add(Node("call_expression", at + 2, end).add(Node("identifier", at + 2, text.index("(", at), "function")))
+            body.end = inside.end = end
+        elif line == "boom":
+            raise ParseError("boom")
+        at = end + 1
+    return src, root
+
+
+def toy_calls(facts):
+    for n, above in facts.nodes:
+        if n.kind == "call_expression":
+            yield {"src": facts.src.of(above[-2].child("identifier")), "caller": facts.src.of(n.child("identifier"))}
+
+
+def test_a_registered_language_goes_all_the_way(spark, tmp_path):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this module
+    toy = ext.Language(("function_declaration",), ("type_declaration",), "block", ("unit_clause", ("unit_name",)), parser=parse_toy)
+    (tmp_path / "a.toy").write_text("unit a.b\ntype T\nfun run(p, q)\n  help(p)\nfun help(x)\n")
+    (tmp_path / "b.toy").write_text("boom")
+    ext.register_language("TOY", ".toy", toy)
+    try:
+        ext.register_extractor("TOY", "call", toy_calls)
+        for wrong in (lambda: ext.register_language("TOY", ".t", toy), lambda: ext.register_language("GOLANG", ".t", toy), lambda: ext.register_language("NEW", ".t", ext.Language()), lambda: ext.register_extractor("TOY", "call", toy_calls), lambda: ext.register_extractor("JAVA", "call", toy_calls), lambda: ext.register_extractor("TOY", "x", toy_calls)):
+            with pytest.raises(ValueError):
+                wrong()
+        src = files.scan(spark, str(tmp_path))
+        assert as_set(src.select("path", "lang")) == {("a.toy", "TOY"), ("b.toy", "TOY")}
+        got = extract(src, "func", ["path"])
+        assert as_set(got.select("path", "signature", "error")) == {("a.toy", "a.b||run|,|", None), ("a.toy", "a.b||help||", None), ("b.toy", None, "boom")}
+        assert as_set(extract(src, "class", ["path"]).filter("error is null").select("signature", "lang")) == {("a.b.T", "TOY")}
+        assert as_set(extract(src, "call", ["path"]).filter("error is null").select("src", "caller")) == {("run", "help")}
+        assert {"run", "help", "p", "q", "T"} <= {r[0] for r in extract(src, "symbol", ["path"]).select("symbol").collect()}
+        func = got.filter("error is null").withColumns({"repo_id": F.lit("r"), "func_id": F.xxhash64("signature")})
+        symbols = extract(src, "symbol", ["path"]).filter("symbol is not null").select(F.lit("r").alias("repo_id"), "path", "symbol", "span")
+        from factloom.operators import graph
+
+        ctx = graph.contexts(func, graph.call_edges(func, symbols))
+        assert as_set(ctx.select("name", F.array_join("calls", ","))) == {("run", "a.b||help||"), ("help", "")}
+    finally:
+        ext.unregister_language("TOY")
+    assert files.scan(spark, str(tmp_path)).count() == 0
+    with pytest.raises(ParseError):
+        Facts("", "TOY")
+
+
 def test_tree_queries_equal_the_tree(spark):
     units = extract_text(spark, JAVA, "JAVA", "unit").filter("error is null").cache()
     q = tree.TreeQuery(units, ["path"])

@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime
 
 import pytest
@@ -91,6 +92,31 @@ def test_streaming_ingest(spark, engine, tmp_path):
     assert engine.functions("r", "v", "p").count() == 2 and as_set(engine.repos()) == {("r",)}
 
 
+def test_the_last_upload_of_a_batch_wins(spark, engine, tmp_path):
+    """Two hundred keys, each uploaded twice in one micro-batch, in one file and in two."""
+    src = tmp_path / "in"
+    src.mkdir()
+
+    def upload(k, lang):
+        m = json.loads(message("r", f"f{k}"))
+        m["funcResult"]["units"][0]["lang"] = lang
+        return json.dumps(m)
+
+    (src / "z.json").write_text("\n".join([upload(k, "OLD") for k in range(200)] + [upload(k, "NEW") for k in range(100)]))
+    (src / "a.json").write_text("\n".join(upload(k, "NEW") for k in range(100, 200)))
+    os.utime(src / "z.json", (1_700_000_000, 1_700_000_000))
+    os.utime(src / "a.json", (1_700_000_100, 1_700_000_100))
+    ingest.start(ingest.messages(spark, str(src)), engine.store, "func", str(tmp_path / "cp"), str(tmp_path / "dead")).awaitTermination()
+    assert as_set(engine.functions("r", "v", "p").groupBy("lang").count()) == {("NEW", 200)}
+    assert "_seq" not in engine.functions("r", "v", "p").columns
+
+
+def test_the_last_row_of_a_write_wins(spark, engine):
+    rows = [("r", "v", "p", f"f{k % 200}", "", "", "OLD" if k < 200 else "NEW", 0, 1) for k in range(400)]
+    engine.upload_functions(functions(spark, *rows).withColumn("ingest_ts", F.current_timestamp()))
+    assert as_set(engine.functions("r", "v", "p").groupBy("lang").count()) == {("NEW", 200)}
+
+
 def test_other_topics(spark):
     unit = {"name": "C", "module": "m", "extras": {"a": 1}, "span": {"start": {"row": 0, "column": 0}, "end": {"row": 1, "column": 1}}}
     c = json.dumps({"workspace": {"repoId": "r", "revHash": "v"}, "clazzFileResult": {"path": "p", "units": [unit]}})
