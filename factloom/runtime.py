@@ -35,6 +35,17 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """The same as a stream of its files."""
+    importable(spark)
+    path = f"{base}/{name}.parquet"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    # a stream's source is a folder
+    return reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(base)
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers find this package even if the driver was not started from its folder."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
@@ -67,12 +78,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     when :func:`release` is called.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A folder of one's own in the shared folder, deleted like the tables of :func:`materialize`."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if not _written:  # registered late, so that it runs before the session's own clean-up
         atexit.register(release)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def release() -> None:

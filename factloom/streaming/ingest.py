@@ -95,7 +95,7 @@ def sink(store: Store, topic: str, dead_letters: str) -> Callable[[DataFrame, in
             store.write("rev_info", revs.withColumns({"create_time": F.unix_timestamp(), "extras": F.lit(None).cast("string")}))
             store.write(TABLES[topic], facts)
             # a batch that runs again replaces what it left
-            bad.write.mode("overwrite").text(f"{dead_letters}/{topic}/batch={batch_id}")
+            bad.write.mode("overwrite").json(f"{dead_letters}/{topic}/batch={batch_id}")
         finally:
             batch.unpersist()
 

@@ -86,7 +86,7 @@ def test_streaming_ingest(spark, engine, tmp_path):
     run = lambda: ingest.start(ingest.messages(spark, str(src)), engine.store, "func", str(tmp_path / "cp"), dead).awaitTermination()
     run()
     assert as_set(engine.functions("r", "v", "p").select("name")) == {("f",), ("g",)}
-    assert spark.read.text(dead + "/func").count() == 2
+    assert spark.read.json(dead + "/func").count() == 2
     (src / "b.json").write_text(message("r", "f"))
     run()
     assert engine.functions("r", "v", "p").count() == 2 and as_set(engine.repos()) == {("r",)}
