@@ -543,12 +543,34 @@ def annotation_distribution(spark, d):
     return facts.annotation_distribution(func(spark, d))
 
 
-@query()
+# lines of a patch with the last hunk's header, the place within the hunk and what of it is used up
+_PATCHES = r"""with d as (select doc_id, repo_id, string_split(text, chr(10)) ls from documents where source = 'patch' and text is not null),
+l as (select doc_id, repo_id, unnest(ls) line, generate_subscripts(ls, 1) n from d),
+h as (select *, regexp_extract(line, '^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@', ['a', 'b', 'c', 'e']) x, regexp_matches(line, '^@@ -\d+(,\d+)? \+\d+(,\d+)? @@') is_head,
+  lag(line) over (partition by doc_id order by n) before from l),
+k as (select *, count(*) filter (where is_head) over (partition by doc_id order by n) hunk,
+  case when line like 'diff --git %' then coalesce(nullif(regexp_extract(line, '^diff --git .* "?b/(.*?)"?\r?$', 1), ''), chr(0))
+       when line like '+++ %' and before like '--- %' then case when regexp_matches(line, '^\+\+\+ /dev/null') then chr(0) else regexp_extract(line, '^\+\+\+ (?:b/)?([^\t\r]*)', 1) end end as named from h),
+p as (select *, last_value(named ignore nulls) over (partition by doc_id order by n) path,
+  first_value(x) over (partition by doc_id, hunk order by n) hx, case when line = chr(13) then '' else substr(line, 1, 1) end mark,
+  sum(case when line like chr(92) || '%' then 0 else 1 end) over (partition by doc_id, hunk order by n) - 2 as idx from k),
+s as (select *, if(hx.b = '', 1, cast(hx.b as int)) old_n, if(hx.e = '', 1, cast(hx.e as int)) new_n,
+  count(*) filter (where not is_head and mark in ('', ' ', '-')) over (partition by doc_id, hunk order by n) - cast(not is_head and mark in ('', ' ', '-') as int) as old_used,
+  count(*) filter (where not is_head and mark in ('', ' ', '+')) over (partition by doc_id, hunk order by n) - cast(not is_head and mark in ('', ' ', '+') as int) as new_used,
+  count(*) filter (where not is_head and mark not in ('', ' ', '+', '-', chr(92))) over (partition by doc_id, hunk order by n) as strange from p),
+added as (select doc_id, repo_id, path, n, cast(cast(hx.c as int) + idx - 1 as int) as at from s
+  where hunk > 0 and not is_head and mark = '+' and strange = 0 and (old_used < old_n or new_used < new_n) and path <> chr(0)),
+files as (select distinct doc_id, repo_id, path from s where named is not null and path <> chr(0)),
+pl as (select f.doc_id, f.repo_id, f.path, coalesce(list(a.at order by a.n) filter (where a.at is not null), []) as lines from files f left join added a on a.doc_id = f.doc_id and a.path = f.path group by all)"""
+
+
+@query(_PATCHES + " select doc_id, repo_id, path, array_to_string(lines, ',') as lines from pl")
 def patch_lines(spark, d):
-    return patches.affected_lines(docs(spark, d).filter(F.col("source") == "patch"), ["doc_id", "repo_id"])
+    lines = patches.affected_lines(docs(spark, d).filter(F.col("source") == "patch"), ["doc_id", "repo_id"])
+    return lines.withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
 
 
-@query()
+@query(f"{_PATCHES}, {_GRAPH_FUNCS} select pl.doc_id, pl.repo_id, pl.path, f.func_id, f.signature from pl left join gf f on f.repo_id = pl.repo_id and f.path = pl.path and {_hit('f.span', 'pl.lines')}")
 def patch_functions(spark, d):
     lines = patches.affected_lines(docs(spark, d).filter(F.col("source") == "patch"), ["doc_id", "repo_id"])
     return history.patched(graph_functions(spark, d), lines).select("doc_id", "repo_id", "path", "func_id", "signature")
@@ -562,6 +584,30 @@ def _sources(spark, d) -> DataFrame:
     return docs(spark, d).filter((F.col("source") == "src_file") & F.col("path").isNotNull()).withColumn("lang", facts.lang_of_path("path"))
 
 
+_SOURCE_LINES = f"""with f as (select doc_id, {_LANG} lang, text from documents where source = 'src_file' and path is not null and text is not null),
+l as (select doc_id, lang, unnest(string_split(text, chr(10))) line from f where lang is not null)"""
+_FUNCTION_LINES = r"""case lang when 'PYTHON' then regexp_extract(line, '^\s*(?:async\s+)?def\s+([\pL\w]+)\s*\(', 1)
+ when 'GOLANG' then regexp_extract(line, '^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(', 1)
+ when 'KOTLIN' then regexp_extract(line, '^\s*(?:[a-z]+\s+)*fun\s+(?:<[^>]*>\s*)?(\w+)\s*\(', 1) end"""
+_CLASS_LINES = r"""case lang when 'PYTHON' then regexp_extract(line, '^\s*class\s+([\pL\w]+)\s*[(:]', 1)
+ when 'KOTLIN' then regexp_extract(line, '^\s*(?:[a-z]+\s+)*class\s+(\w+)', 1)
+ when 'JAVASCRIPT' then regexp_extract(line, '^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)', 1)
+ when 'JAVA' then regexp_extract(line, '^\s*(?:[a-z]+\s+)*(?:class|interface|enum)\s+(\w+)', 1) end"""
+
+
+@query(f"{_SOURCE_LINES}, m as (select doc_id, lang, {_FUNCTION_LINES} as name from l) select doc_id, lang, name, count(*) as n from m where name <> '' group by all")
+def extract_function_names(spark, d):
+    """Names of the functions of each file, in the languages whose declarations a line tells."""
+    out = extract.extract(_sources(spark, d).filter(F.col("lang").isin("PYTHON", "GOLANG", "KOTLIN")), "func", ["doc_id"]).filter("signature is not null")
+    return out.groupBy("doc_id", "lang", "name").agg(F.count("*").alias("n"))
+
+
+@query(f"{_SOURCE_LINES}, m as (select doc_id, lang, {_CLASS_LINES} as name from l) select doc_id, lang, name, count(*) as n from m where name <> '' group by all")
+def extract_class_names(spark, d):
+    out = extract.extract(_sources(spark, d).filter("lang <> 'GOLANG'"), "class", ["doc_id"]).filter("signature is not null")
+    return out.groupBy("doc_id", "lang", "name").agg(F.count("*").alias("n"))
+
+
 @query()
 def extract_functions(spark, d):
     out = extract.extract(_sources(spark, d), "func", ["doc_id", "path"])
