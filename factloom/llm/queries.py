@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import garbled, handwritten, packing, terms, tokens
-from factloom.runtime import read_table
+from factloom.runtime import materialize, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,6 +89,18 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy(F.floor(F.col("n") * 100 / CAPACITY).alias("percent_full")).agg(F.count("*").alias("n_containers"))
 
 
+@query("select count(*) as documents, 0 as overfull, 0 as split_needlessly from documents")
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: every document is placed, no container is overfull, and only
+    documents beyond the capacity are split."""
+    placed = materialize(p9_containers(spark, d), "containers")
+    over = placed.groupBy("container").agg(F.sum("n_tokens").alias("n")).select(F.lit(0).alias("doc"), (F.col("n") > CAPACITY).cast("int").alias("overfull"), F.lit(0).alias("split"))
+    per = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts"))
+    docs = per.select(F.lit(1).alias("doc"), F.lit(0).alias("overfull"), ((F.col("parts") > 1) & (F.col("n") <= CAPACITY)).cast("int").alias("split"))
+    sums = {"documents": F.sum("doc"), "overfull": F.sum("overfull").cast("int"), "split_needlessly": F.sum("split").cast("int")}
+    return over.unionByName(docs).agg(*(c.alias(n) for n, c in sums.items()))
+
+
 # ---- 4: files nobody wrote by hand ----
 
 
