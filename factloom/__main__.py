@@ -17,33 +17,43 @@ from factloom.sources import files, patches
 from factloom.sources.extract import extract
 
 
-def analysed(src: DataFrame, scope: list[str]) -> DataFrame:
-    """Functions of source files with their direct callees and callers. Says which files were not
-    parsed, or only in part."""
-    found = materialize(extract(src, "func", [*scope, "path"]), "extracted")
+def contexts_of(found: DataFrame, symbols: DataFrame, scope: list[str]) -> DataFrame:
+    """Functions with their direct callees and callers, out of extracted functions and symbols. Says
+    which files were not parsed, or only in part."""
+    found = materialize(found, "extracted")
     for r in found.filter("error is not null").select("path", "error").distinct().toLocalIterator():
         print(f"{r['path']}: {r['error']}", file=sys.stderr)
     found = found.filter("name is not null").drop("error")
     func = graph.require_unique(materialize(found.withColumn("func_id", F.xxhash64(*scope, names.vertex())), "functions"), scope)
-    symbols = extract(src, "symbol", [*scope, "path"]).filter("symbol is not null").select(*scope, "path", "symbol", "span")
+    symbols = symbols.filter("symbol is not null").select(*scope, "path", "symbol", "span")
     return graph.contexts(func, graph.call_edges(func, symbols, scope), scope)
 
 
+def analysed(src: DataFrame, scope: list[str]) -> DataFrame:
+    """The same of source texts."""
+    return contexts_of(extract(src, "func", [*scope, "path"]), extract(src, "symbol", [*scope, "path"]), scope)
+
+
+def _facts(listed: DataFrame, repo_dir: str, repo_id: str, what: str, everything: bool = True) -> DataFrame:
+    return files.facts_of(listed, repo_dir, what, everything).withColumn("repo_id", F.lit(repo_id))
+
+
 def upload(spark: SparkSession, engine: Engine, repo_dir: str, repo_id: str, depth: int, langs: list[str] | None = None) -> None:
-    for c in files.commits(spark, repo_dir, depth).collect():
-        src = files.tree(spark, repo_dir, c["rev_hash"], everything=True).withColumn("repo_id", F.lit(repo_id))
-        src = src.filter(F.col("lang").isin(langs)) if langs else src
-        engine.upload_revision(repo_id, c["rev_hash"], c["create_time"])
-        ctx = analysed(src, ["repo_id", "rev_hash"])
-        engine.upload_functions(ctx.drop("calls", "reverse_calls", "func_id"))
-        engine.upload_contexts(ctx.drop("func_id", "returns", "body_span", "extras", "unit_ordinal"))
-        engine.upload_classes(extract(src, "class", ["repo_id", "rev_hash", "path"]).filter("name is not null").drop("error"))
+    """All revisions at once: a content that many of them hold is parsed once."""
+    revs = files.commits(spark, repo_dir, depth)
+    listed = files.index(spark, repo_dir, [r[0] for r in revs.select("rev_hash").collect()], everything=True)
+    listed = materialize(listed.filter(F.col("lang").isin(langs)) if langs else listed, "files")
+    engine.store.write("rev_info", revs.select(F.lit(repo_id).alias("repo_id"), "rev_hash", "create_time", F.lit(None).cast("string").alias("extras")))
+    ctx = contexts_of(*(_facts(listed, repo_dir, repo_id, what) for what in ("func", "symbol")), ["repo_id", "rev_hash"])
+    engine.upload_functions(ctx.drop("calls", "reverse_calls", "func_id"))
+    engine.upload_contexts(ctx.drop("func_id", "returns", "body_span", "extras", "unit_ordinal"))
+    engine.upload_classes(_facts(listed, repo_dir, repo_id, "class").filter("name is not null").drop("error"))
 
 
 def diff(spark: SparkSession, repo_dir: str, old: str, new: str, thin: bool) -> DataFrame:
-    src = files.tree(spark, repo_dir, new, everything=True).withColumn("repo_id", F.lit("."))
-    ctx = analysed(src, ["repo_id", "rev_hash"])
-    rev = src.select("rev_hash").first()
+    listed = materialize(files.index(spark, repo_dir, [new], everything=True), "files")
+    ctx = contexts_of(*(_facts(listed, repo_dir, ".", what) for what in ("func", "symbol")), ["repo_id", "rev_hash"])
+    rev = listed.select("rev_hash").first()
     patch = spark.createDataFrame([(files.diff(repo_dir, old, new), ".", rev[0] if rev else new)], "text string, repo_id string, rev_hash string")
     lines = patches.affected_lines(patch, ["repo_id", "rev_hash"])
     hit = facts.affected(ctx, lines)
@@ -51,12 +61,13 @@ def diff(spark: SparkSession, repo_dir: str, old: str, new: str, thin: bool) ->
 
 
 def history_graphs(spark: SparkSession, repo_dir: str, depth: int | None) -> DataFrame:
-    out = None
-    for c in files.commits(spark, repo_dir, depth).orderBy(F.col("ordinal").desc()).collect():
-        src = files.tree(spark, repo_dir, c["rev_hash"]).withColumn("repo_id", F.lit("."))
-        f = extract(src, "func", ["repo_id", "rev_hash", "path"]).filter("name is not null")
-        out = f if out is None else out.unionByName(f)
-    return history.dot(history.edges(out))
+    """The lines of the graph text of every revision; what it changed against the one before is filled."""
+    revs = [r[0] for r in files.commits(spark, repo_dir, depth).orderBy(F.col("ordinal").desc()).select("rev_hash").collect()]
+    listed = files.index(spark, repo_dir, revs)
+    func = materialize(_facts(listed, repo_dir, ".", "func", False).filter("name is not null"), "functions")
+    lines = patches.affected_lines(files.diffs(spark, repo_dir, list(zip(revs, revs[1:]))).withColumn("repo_id", F.lit(".")), ["repo_id", "rev_hash"])
+    sources = lines.filter(facts.lang_of_path("path").isNotNull())
+    return history.dot(history.edges(func), history.changed_nodes(func, sources))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -95,7 +106,8 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "diff":
         diff(spark, src, a.old, a.new, a.thin).write.mode("overwrite").json(a.output)
     else:
-        history_graphs(spark, src, a.depth).write.mode("overwrite").json(a.output)
+        graphs = history_graphs(spark, src, a.depth).repartition("rev_hash").sortWithinPartitions("rev_hash", "part", "line")
+        graphs.select("rev_hash", "line").write.mode("overwrite").partitionBy("rev_hash").text(a.output)
     return 0
 
 

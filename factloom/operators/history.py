@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import names, spans
 from factloom.operators.facts import SCOPE
+from factloom.operators.keys import hash64
 
 
 def neighbours(func: DataFrame, rev: DataFrame) -> DataFrame:
@@ -40,7 +41,9 @@ def snapshots(func: DataFrame, rev: DataFrame) -> DataFrame:
     built from the predecessor's functions and the files whose signatures changed."""
     pairs = neighbours(func, rev)
     keys = func.select(*SCOPE, "path", "signature").distinct()
-    content = keys.groupBy(*SCOPE, "path").agg(F.md5(F.array_join(F.sort_array(F.collect_list("signature")), "\n")).alias("content"))
+    # the set of a file's signatures as its size and sums of two hashes, which need no list of it
+    h = [hash64("signature"), hash64(F.lit(1), "signature")]
+    content = keys.groupBy(*SCOPE, "path").agg(F.struct(F.count("*").alias("n"), F.bit_xor(h[0]).alias("a"), F.bit_xor(h[1]).alias("b")).alias("content"))
     was = pairs.join(content.withColumnsRenamed({"rev_hash": "from_rev", "content": "was"}), ["repo_id", "from_rev"])
     now = pairs.join(content.withColumnsRenamed({"rev_hash": "to_rev", "content": "now"}), ["repo_id", "to_rev"])
     key = ["repo_id", "from_rev", "to_rev", "path"]
@@ -58,13 +61,30 @@ def edges(func: DataFrame) -> DataFrame:
     return tree.unionByName(func.select(*SCOPE, F.col("path").alias("source"), names.dot_text("signature").alias("target"))).distinct()
 
 
+#: Fixed value: the colour of what a revision changed.
+CHANGED = "#9cff3c"
+
+
 def dot(graph_edges: DataFrame, changed: DataFrame | None = None) -> DataFrame:
-    """One graph text per revision; nodes named in ``changed`` (repo_id, rev_hash, target) are filled."""
+    """(repo_id, rev_hash, part, line): the graph text of each revision, line by line in the order of
+    part and line, so that no revision's graph has to be held whole. Nodes named in ``changed``
+    (repo_id, rev_hash, target) are filled."""
     q = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    line = graph_edges.select(*SCOPE, F.concat(q("source"), F.lit("->"), q("target"), F.lit(";")).alias("line"))
+    line = graph_edges.select(*SCOPE, F.lit(1).alias("part"), F.concat(q("source"), F.lit("->"), q("target"), F.lit(";")).alias("line"))
     if changed is not None:
-        line = line.unionByName(changed.select(*SCOPE, F.concat(q("target"), F.lit(' [ fillcolor="#9cff3c", style=filled ];')).alias("line")))
-    return line.groupBy(*SCOPE).agg(F.concat(F.lit("digraph G {rankdir=LR;"), F.array_join(F.sort_array(F.collect_list("line")), ""), F.lit("}")).alias("dot"))
+        line = line.unionByName(changed.select(*SCOPE, F.lit(2).alias("part"), F.concat(q("target"), F.lit(f' [ fillcolor="{CHANGED}", style=filled ];')).alias("line")).distinct())
+    ends = graph_edges.select(*SCOPE).distinct().select(*SCOPE, F.inline(F.array(F.struct(F.lit(0).alias("part"), F.lit("digraph G {rankdir=LR;").alias("line")), F.struct(F.lit(3).alias("part"), F.lit("}").alias("line")))))
+    return ends.unionByName(line)
+
+
+def changed_nodes(func: DataFrame, patches_: DataFrame) -> DataFrame:
+    """(repo_id, rev_hash, target): the nodes of the files that a revision's patch touches and of the
+    functions that hold changed lines. func: functions of each revision; patches: (repo_id, rev_hash,
+    path, lines)."""
+    key = F.concat_ws("|", *SCOPE)
+    hit = patched(func.withColumns({"repo_id": key, "func_id": F.lit(None).cast("bigint")}), patches_.withColumns({"_repo": F.col("repo_id"), "repo_id": key}))
+    files = patches_.select(*SCOPE, F.col("path").alias("target"))
+    return files.unionByName(hit.filter("signature is not null").select(F.col("_repo").alias("repo_id"), "rev_hash", names.dot_text("signature").alias("target"))).distinct()
 
 
 def patched(func: DataFrame, lines: DataFrame) -> DataFrame:

@@ -284,20 +284,22 @@ def span_contains(spark, d):
     return func(spark, d).filter("span is not null").select("func_id", spans.has_line("span", F.col("def_line")).alias("hit"), spans.text("span").alias("text"))
 
 
-_PAIRS = "(select a.func_id a, b.func_id b, a.body_span x, b.span y from fact_func a join fact_func b on a.repo_id = b.repo_id and a.rev_hash = b.rev_hash and a.path = b.path)"
+# each function's body against the span of the next function of its file
+_PAIRS = "(select func_id a, lead(func_id) over w b, body_span x, lead(span) over w y from fact_func window w as (partition by repo_id, rev_hash, path order by span.start.row nulls first, func_id, ingest_ts))"
 
 
 def _pairs(spark, d):
+    w = Window.partitionBy(*SCOPE, "path").orderBy(F.col("span.start.row").asc_nulls_first(), "func_id", "ingest_ts")
     f = func(spark, d)
-    return f.select(*SCOPE, "path", F.col("func_id").alias("a"), F.col("body_span").alias("x")).join(f.select(*SCOPE, "path", F.col("func_id").alias("b"), F.col("span").alias("y")), [*SCOPE, "path"])
+    return f.select(F.col("func_id").alias("a"), F.lead("func_id").over(w).alias("b"), F.col("body_span").alias("x"), F.lead("span").over(w).alias("y")).filter("b is not null")
 
 
-@query(f"select a, b, coalesce({_touch('x', 'y')}, false) as touching from {_PAIRS}")
+@query(f"select a, b, coalesce({_touch('x', 'y')}, false) as touching from {_PAIRS} where b is not null")
 def span_interaction(spark, d):
     return _pairs(spark, d).select("a", "b", spans.touches("x", "y").alias("touching"))
 
 
-@query(f"select a, b, coalesce(y.end.row >= x.start.row and y.start.row <= x.end.row, false) as overlapping from {_PAIRS}")
+@query(f"select a, b, coalesce(y.end.row >= x.start.row and y.start.row <= x.end.row, false) as overlapping from {_PAIRS} where b is not null")
 def span_rows_overlap(spark, d):
     return _pairs(spark, d).select("a", "b", spans.rows_overlap("x", "y").alias("overlapping"))
 

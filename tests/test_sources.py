@@ -352,8 +352,15 @@ def test_git_and_command_line(spark, git, tmp_path):
     rev = files.commits(spark, git, 1).first()["rev_hash"]
     assert as_set(e.context("r", rev, "||second||").select(F.array_join("calls", ","))) == {("||first||",)}
     assert as_set(diff(spark, git, "HEAD~1", "HEAD", True).select("path", "signature", "reference_count")) == {("m.py", "||second||", 1)}
-    dot = [r["dot"] for r in history_graphs(spark, git, None).collect()]
-    assert len(dot) == 2 and all('"m.py"->"//first//"' in x for x in dot)
+    dot = {}
+    for r in history_graphs(spark, git, None).orderBy("part", "line").collect():
+        dot.setdefault(r["rev_hash"], []).append(r["line"])
+    assert len(dot) == 2 and all('"m.py"->"//first//";' in x and x[0].startswith("digraph") and x[-1] == "}" for x in dot.values())
+    filled = {x for x in dot[rev] if "fillcolor" in x}
+    assert {x.split(" [")[0] for x in filled} == {'"m.py"', '"//second//"'}
+    assert not any("fillcolor" in x for r, ls in dot.items() if r != rev for x in ls)
+    assert main(["history", "--src", git, "--output", str(tmp_path / "dots")]) == 0
+    assert spark.read.text(str(tmp_path / "dots") + f"/rev_hash={rev}").count() == len(dot[rev])
     assert main(["extract", "--src", git, "--output", str(tmp_path / "out")]) == 0
     assert spark.read.json(str(tmp_path / "out")).filter("name = 'second'").count() == 1
 
@@ -413,4 +420,21 @@ def test_upload_and_diff_take_large_files(spark, git, tmp_path):
     rev = files.commits(spark, git, 1).first()["rev_hash"]
     assert e.context("r", rev, "||large||").count() == 1
     assert ("large.py", "||large||") in as_set(diff(spark, git, "HEAD~1", "HEAD", True).select("path", "signature"))
-    assert not any("large" in r["dot"] for r in history_graphs(spark, git, 1).collect())
+    assert not any("large" in r["line"] for r in history_graphs(spark, git, 1).collect())
+
+
+def test_a_content_is_parsed_once(spark, git, tmp_path, monkeypatch):
+    """Two revisions and two files of one content: one blob is read and parsed."""
+    from pathlib import Path
+
+    from factloom.sources import extract as module
+
+    (Path(git) / "copy.py").write_text((Path(git) / "m.py").read_text())
+    for a in (["add", "-A"], ["-c", "user.name=t", "-c", "user.email=t@t", "commit", "-qm", "copy"]):
+        subprocess.run(["git", "-C", git, *a], check=True, capture_output=True)
+    seen, real = [], module.extract
+    monkeypatch.setattr(module, "extract", lambda f, *a: seen.append(f) or real(f, *a))
+    listed = files.index(spark, git, ["HEAD", "HEAD~1"])
+    got = files.facts_of(listed, git, "func")
+    assert seen[0].filter("text like '%second%'").count() == 1
+    assert got.filter("name = 'second'").count() == 3 and got.select("rev_hash").distinct().count() == 2
