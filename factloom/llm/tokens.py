@@ -9,6 +9,7 @@ and the texts' ids are reassembled by position. Decoding joins the token-byte ta
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,16 @@ def encoder(path: str):
     return _kept[path]
 
 
+def pack_index(at: np.ndarray, n_words: int) -> bytes:
+    """Indexes into a block's words as bytes, two per index where that holds them, else four: to the
+    JVM and the shuffle they are one value and not millions."""
+    return b"2" + at.astype("<u2").tobytes() if n_words <= 1 << 16 else b"4" + at.astype("<u4").tobytes()
+
+
+def unpack_index(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u2" if packed[:1] == b"2" else "<u4", offset=1).astype(np.int64)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) rows into blocks: ids, numbers of pre-tokens, word indexes, distinct words."""
     split, task, seq = splitter(), TaskContext.get().partitionId(), 0
@@ -68,7 +79,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([task << 32 | seq], pa.int64()),
             pa.array([ids], pa.list_(id_type)),
             pa.array([sizes], pa.list_(pa.int32())),
-            pa.ListArray.from_arrays(pa.array([0, sum(map(len, index))], pa.int32()), pa.array(np.concatenate(index) if index else np.zeros(0, np.int32), pa.int32())),
+            pa.array([pack_index(np.concatenate(index) if index else np.zeros(0, np.int32), len(words))], pa.binary()),
             pa.array([list(words)], pa.list_(pa.string())),
         ]
         for x in (words, ids, sizes, index):
@@ -98,7 +109,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             T.StructField("block", T.LongType()),
             T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)),
             T.StructField("sizes", T.ArrayType(T.IntegerType())),
-            T.StructField("at", T.ArrayType(T.IntegerType())),
+            T.StructField("at", T.BinaryType()),
             T.StructField("words", T.ArrayType(T.StringType())),
         ]
     )
@@ -106,14 +117,15 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dictionary(split: DataFrame, path: str = RANKS) -> DataFrame:
-    """(word, ids) of every distinct word of the corpus, each encoded once."""
+    """(word, ids) of every distinct word of the corpus, each encoded once; ids are 32-bit numbers in
+    bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([array("i", encode(w)).tobytes() for w in batch.column(0).to_pylist()], pa.binary())], names=["word", "ids"])
 
-    return split.select(F.explode("words").alias("word")).distinct().mapInArrow(run, "word string, ids array<int>")
+    return split.select(F.explode("words").alias("word")).distinct().mapInArrow(run, "word string, ids binary")
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
@@ -129,6 +141,13 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame
     return split.select("block", "ids", "sizes", "at").join(tables, "block", "left")
 
 
+def _flat(table: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the words' ids and all ids of a table of packed ids."""
+    offsets = np.frombuffer(table.buffers()[1], np.int32)[table.offset : table.offset + len(table) + 1].astype(np.int64)
+    ids = np.frombuffer(table.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return (offsets - offsets[0]) // 4, ids.view(np.int32)
+
+
 def _reassembled(docs: DataFrame, id_col: str, text_col: str, path: str, count_only: bool) -> DataFrame:
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()) if count_only else T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -136,13 +155,11 @@ def _reassembled(docs: DataFrame, id_col: str, text_col: str, path: str, count_o
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, sizes, at, table = (batch.column(i).slice(r, 1).flatten() for i in range(4))
-                at, sizes = at.to_numpy(zero_copy_only=False), sizes.to_numpy(zero_copy_only=False)
+                ids, sizes, table = (batch.column(i).slice(r, 1).flatten() for i in (0, 1, 3))
+                at, sizes = unpack_index(batch.column(2)[r].as_py()), sizes.to_numpy(zero_copy_only=False)
                 ends = np.cumsum(sizes)
                 if len(at):
-                    starts = table.offsets.to_numpy()
-                    flat = table.flatten().to_numpy(zero_copy_only=False)
-                    starts = starts - starts[0]
+                    starts, flat = _flat(table)
                     length = np.diff(starts)[at]
                     total = np.concatenate([[0], np.cumsum(length)])
                 else:
