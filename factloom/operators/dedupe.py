@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.operators.keys import hash64
 from factloom.runtime import materialize, plan_bytes
 
 #: Bytes on disk up to which the deletion vectors are broadcast to the readers.
@@ -139,6 +140,23 @@ def keep_first(df: DataFrame, identifier: Column, order: str) -> DataFrame:
     return _read_with(df, vectors, df.columns, dead=False)
 
 
+def keep_latest(df: DataFrame, key: Sequence[str], at: str, tie: str) -> DataFrame:
+    """``df``, read from files, with the row of each key that came last: that with the largest ``at``,
+    then ``tie`` (nulls before all others), then by a hash of its position.
+
+    As for messages, what is shuffled is two hashes of the key, the order and the position, and the
+    rows themselves are read with deletion vectors applied. Null key parts are values. An empty
+    table gives no row, and columns may have any names.
+    """
+    cols = [F.col(k) for k in key]
+    micros = F.unix_micros(F.col(at).cast("timestamp")) if "timestamp" in df.schema[at].dataType.simpleString() else F.col(at).cast("bigint")
+    rows = df.select(hash64(*cols).alias("k1"), hash64(F.lit(1), *cols).alias("k2"), micros.alias("_at"), F.col(tie).cast("bigint").alias("_tie"), *position(df))
+    rank = F.struct(F.col("_at").isNotNull().alias("a"), F.col("_at").alias("b"), F.col("_tie").isNotNull().alias("c"), F.col("_tie").alias("d"), F.xxhash64("_file", "_row").alias("e"), F.col("_file").alias("f"), F.col("_row").alias("g"))
+    many = rows.groupBy("k1", "k2").agg(F.max(rank).alias("w"), F.count("*").alias("n")).filter("n > 1").select("k1", "k2", "w.f", "w.g")
+    lost = rows.join(many, ["k1", "k2"]).filter("_file <> f or _row <> g").select("_file", "_row")
+    return _read_with(df, materialize(deletion_vectors(lost), "deletion-vectors"), df.columns, dead=False)
+
+
 def duplicate_deliveries(messages: DataFrame) -> DataFrame:
     """Deliveries whose message came before under a smaller delivery_id, as the deletion vectors of
     the files give them: what they mark is read, nothing but its delivery_id.

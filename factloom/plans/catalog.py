@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import names, rules, spans
-from factloom.operators import chains, facts, graph, history, tree
+from factloom.operators import chains, dedupe, facts, graph, history, tree
 from factloom.runtime import materialize, read_table
 from factloom.sources import extract, patches
 from factloom.sources import symbols as sym
@@ -263,7 +263,9 @@ def content_dedupe(spark, d):
 
 @query(f"select * exclude (parameters, returns, span, body_span, ingest_ts), strftime(ingest_ts, '%Y-%m-%d %H:%M:%S') as came from {_UPSERTED}")
 def upsert_latest(spark, d):
-    return upserted(spark, d).withColumn("came", F.date_format("ingest_ts", "yyyy-MM-dd HH:mm:ss")).drop("parameters", "returns", "span", "body_span", "ingest_ts")
+    """Rows whole, so they stay where they are read; what asks for a few columns takes ``upserted``."""
+    last = dedupe.keep_latest(func(spark, d), facts.FUNCTION_KEY, "ingest_ts", "func_id")
+    return last.withColumn("came", F.date_format("ingest_ts", "yyyy-MM-dd HH:mm:ss")).drop("parameters", "returns", "span", "body_span", "ingest_ts")
 
 
 @query("select func_id from fact_func f where not exists (select 1 from func_drop g where g.repo_id = f.repo_id and g.rev_hash = f.rev_hash)")

@@ -71,3 +71,16 @@ def test_empty_table(table):
 def test_halves_are_exact(spark):
     df = spark.createDataFrame([("f" * 32,), ("0" * 32,), ("8" + "0" * 31,)], "u string").select(*dedupe._halves(F.col("u")))
     assert as_set(df) == {(-1, -1), (0, 0), (-(2**63), 0)}
+
+
+def test_latest_row_of_a_key(table):
+    from datetime import datetime
+
+    t = [datetime(2024, 1, d) for d in (1, 2, 3)]
+    data = [("a", t[0], 1, "x"), ("a", t[2], 1, "last"), ("a", t[1], 9, "x"), (None, t[0], 1, "x"), (None, t[0], 2, "last"), ("b", None, 5, "last"), ("c", None, 5, "x"), ("c", t[0], None, "last"), ("d", t[0], 1, "same"), ("d", t[0], 1, "same")]
+    df = table([(*r, "f") for r in data], "k string, at timestamp, id bigint, v string, _file string")
+    got = dedupe.keep_latest(df, ["k"], "at", "id")
+    assert got.columns == df.columns and sorted((r["k"] or "", r["v"]) for r in got.collect()) == [("", "last"), ("a", "last"), ("b", "last"), ("c", "last"), ("d", "same")]
+    assert dedupe.keep_latest(table([], "k string, at timestamp, id bigint", "e"), ["k"], "at", "id").count() == 0
+    narrow = dedupe.keep_latest(df, ["k"], "at", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in narrow  # wide rows are not shuffled
