@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factloom.operators.keyfilter import join_keys
@@ -153,6 +154,10 @@ def _narrow(graph: Graph, down: Sequence[Reference]) -> tuple[DataFrame, DataFra
     return materialize(nodes.distinct(), "referred-records"), materialize(edges, "references")
 
 
+#: Levels after which the sets of orphaned records are made one table.
+FOLD = 10
+
+
 def cascade(graph: Graph, max_levels: int | None = None) -> DataFrame:
     """Direct and inherited orphans: the columns of :func:`direct` plus ``kind`` and ``level``.
 
@@ -172,18 +177,21 @@ def cascade(graph: Graph, max_levels: int | None = None) -> DataFrame:
     found = materialize(level0, "orphans")
     nodes, edges = _narrow(graph, down)
     record, key = ["src_table", "src_id"], ["h1", "h2"]
-    seen = found.select(*record).distinct()
-    frontier, level, levels = seen, 0, []
+    seen, frontier, level, levels = [found.select(*record)], found.select(*record), 0, []
     while max_levels is None or level < max_levels:
         level += 1
-        lost = materialize(nodes.join(frontier, record, "left_semi").select(*key).distinct(), f"lost-{level}")
-        hit = edges.join(F.broadcast(lost) if plan_bytes(lost) <= BROADCAST_BYTES else lost, key, "left_semi")
-        fresh = materialize(hit.join(seen, record, "left_anti").distinct().withColumn("level", F.lit(level)), f"inherited-{level}")
-        if fresh.isEmpty():
+        # joins of written tables, whose sizes Catalyst knows: the small ones are broadcast
+        lost = nodes.join(frontier, record, "left_semi").select(*key)
+        hit = edges.join(lost, key, "left_semi").join(reduce(DataFrame.unionByName, seen), record, "left_anti")
+        n = Observation()
+        fresh = materialize(hit.distinct().withColumn("level", F.lit(level)).observe(n, F.count(F.lit(1)).alias("n")), f"inherited-{level}")
+        if not n.get["n"]:
             break
         levels.append(fresh)
-        frontier = fresh.select(*record).distinct()
-        seen = materialize(seen.unionByName(frontier), f"orphaned-{level}")
+        frontier = fresh.select(*record)
+        seen.append(frontier)
+        if len(seen) > FOLD:  # so that plans stay short however deep the graph is
+            seen = [materialize(reduce(DataFrame.unionByName, seen).distinct(), f"orphaned-{level}")]
     for k, part in enumerate(levels):
         levels[0] = levels[0].unionByName(part) if k else part
     return found.unionByName(_named(graph, down, levels[0]), allowMissingColumns=True) if levels else found

@@ -77,3 +77,13 @@ def test_cascade_runs_behind_the_queries(spark, monkeypatch):
     direct = ("rel_funcctx", "calls", "2024-01-01", "missing")
     assert as_set(problems.QUERIES["p3_report"](spark, "")) == {(*direct, 1, 1)}
     assert as_set(problems.QUERIES["p3_report_kinds"](spark, "")) == {(*direct, "direct", 1, 1), (*direct[:3], "inherited", "inherited", 1, 1)}
+
+
+def test_a_long_chain_and_a_circle(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "FOLD", 3)
+    n = 12
+    func = [(i, "r", "v", f"s{i}", T0) for i in range(n)]
+    ctx = [(i, "r", "v", f"s{i}", [f"s{i - 1}"] if i else ["missing", f"s{n - 1}"], None, T0) for i in range(n)]
+    got = {r["src_id"]: (r["kind"], r["level"]) for r in orphans.cascade(graph(spark, func, ctx, deep=True)).collect()}
+    assert got == {i: ("inherited", i) if i else ("direct", 0) for i in range(n)}
+    assert orphans.cascade(graph(spark, func, ctx, deep=True), max_levels=2).count() == 3
