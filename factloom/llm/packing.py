@@ -54,7 +54,10 @@ class _Sums:
         a = np.arange(gap - 2, (gap + 2) // 3 - 1, -1)
         a = a[a > 0]
         for x in a[(self.avail[a] > 0) & self.pairs[gap - a]]:
-            if (p := self.pair(gap - int(x))) and all(self.avail[y] >= (int(x), *p).count(y) for y in (int(x), *p)):
+            self.avail[x] -= 1  # the other two come from what is left
+            p = self.pair(gap - int(x))
+            self.avail[x] += 1
+            if p:
                 return int(x), *p
         return None
 

@@ -1,5 +1,7 @@
 from collections import Counter, defaultdict
 
+import itertools
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -66,3 +68,19 @@ def test_exact_complements_are_found():
     assert packing.plan({40: 1, 15: 1, 5: 1}, 60) == [((40, 15, 5), 1)]
     assert packing.plan({30: 1, 15: 1, 10: 1, 5: 1}, 60) == [((30, 15, 10, 5), 1)]
     assert packing.plan({20: 3}, 60) == [((20, 20, 20), 1)]
+
+
+def test_triples_find_every_exact_fill():
+    """5 + 5 + 2 needs a second 5, so 5 + 4 + 3 is the fill of 12."""
+    avail = np.zeros(13, np.int64)
+    avail[[2, 3, 4, 5]] = 1
+    assert sorted(packing._Sums(avail).triple(12)) == [3, 4, 5] and avail.sum() == 4
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        avail = rng.integers(0, 3, 20)
+        avail[0] = 0
+        gap = int(rng.integers(3, 20))
+        got = packing._Sums(avail).triple(gap)
+        able = any(sum(c) == gap and all(avail[x] >= c.count(x) for x in c) for c in itertools.combinations_with_replacement(range(1, 20), 3))
+        assert (got is not None) == able
+        assert got is None or sum(got) == gap and all(avail[x] >= got.count(x) for x in got)
