@@ -154,6 +154,11 @@ def _narrow(graph: Graph, down: Sequence[Reference]) -> tuple[DataFrame, DataFra
     return materialize(nodes.distinct(), "referred-records"), materialize(edges, "references")
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """To be broadcast if its measured size allows it; for written tables and what is narrow on them."""
+    return F.broadcast(df) if plan_bytes(df) <= BROADCAST_BYTES else df
+
+
 #: Levels after which the sets of orphaned records are made one table.
 FOLD = 10
 
@@ -180,9 +185,8 @@ def cascade(graph: Graph, max_levels: int | None = None) -> DataFrame:
     seen, frontier, level, levels = [found.select(*record)], found.select(*record), 0, []
     while max_levels is None or level < max_levels:
         level += 1
-        # joins of written tables, whose sizes Catalyst knows: the small ones are broadcast
-        lost = nodes.join(frontier, record, "left_semi").select(*key)
-        hit = edges.join(lost, key, "left_semi").join(reduce(DataFrame.unionByName, seen), record, "left_anti")
+        lost = materialize(nodes.join(_bounded(frontier), record, "left_semi").select(*key).distinct(), f"lost-{level}")
+        hit = edges.join(_bounded(lost), key, "left_semi").join(_bounded(reduce(DataFrame.unionByName, seen)), record, "left_anti")
         n = Observation()
         fresh = materialize(hit.distinct().withColumn("level", F.lit(level)).observe(n, F.count(F.lit(1)).alias("n")), f"inherited-{level}")
         if not n.get["n"]:
