@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.api import Engine
+from factloom.config import MODES, load
 from factloom.functions import names
 from factloom.operators import facts, graph, history
 from factloom.runtime import materialize, session
 from factloom.sources import files, patches
 from factloom.sources.extract import extract
+from factloom.streaming.service import serve
 
 
 def contexts_of(found: DataFrame, symbols: DataFrame, scope: list[str]) -> DataFrame:
@@ -96,8 +99,17 @@ def main(argv: list[str] | None = None) -> int:
     h.add_argument("--src", required=True)
     h.add_argument("--depth", type=int)
     h.add_argument("--output", required=True)
+    v = sub.add_parser("serve", help="take uploads in and write them to the store, as the mode says")
+    v.add_argument("--config")
+    v.add_argument("--mode", choices=MODES)
+    v.add_argument("--every", help="run on, a batch this often, as in '10 seconds'; else do what there is and end")
     a = p.parse_args(argv)
     spark = session()
+    if a.cmd == "serve":
+        config = load(a.config)
+        for q in serve(spark, replace(config, mode=a.mode) if a.mode else config, **({"processingTime": a.every} if a.every else {})):
+            q.awaitTermination()
+        return 0
     src = str(Path(a.src).resolve())
     if a.cmd == "extract":
         extract(files.scan(spark, src, a.lang, a.include, a.exclude), a.type, ["path"]).write.mode("overwrite").json(a.output)

@@ -15,8 +15,8 @@ class Engine:
     """Queries over a :class:`Store`. A missing repository, revision or function gives no rows,
     except where a single one is asked for by signature: that raises KeyError."""
 
-    def __init__(self, spark: SparkSession, base: str) -> None:
-        self.spark, self.store = spark, Store(spark, base)
+    def __init__(self, spark: SparkSession, base: str, driver: str = "parquet") -> None:
+        self.spark, self.store = spark, Store(spark, base, driver)
 
     def _table(self, name: str, repo: str | None = None, rev: str | None = None, path: str | None = None) -> DataFrame:
         df = self.store.functions_with_tags() if name == "fact_func" else self.store.read(name)

@@ -1,8 +1,8 @@
 """Syntax trees of source files, for the kinds of nodes that facts are made of.
 
-Python is parsed by its own compiler, and by a scanner of indented lines where that fails; Go, Java, Kotlin and JavaScript by a scanner of tokens with
-matched brackets, which finds declarations, calls and identifiers and steps over what it does not
-know. Rows and columns are 0-based, columns count UTF-8 bytes, ends are exclusive.
+Python is parsed by its own compiler, and by a scanner of indented lines where that fails; Go, Java,
+Kotlin and JavaScript by a scanner of tokens with matched brackets, which finds declarations,
+statements, calls and identifiers and steps over what it does not know. Rows and columns are 0-based, columns count UTF-8 bytes, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -95,6 +95,7 @@ _regex = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*
 class Tokens:
     def __init__(self, text: str, lang: str) -> None:
         self.src = Source(text)
+        self.lang = lang
         self.t: list[Token] = []
         self.pair: dict[int, int] = {}
         lex, at, fresh = _LEXERS[lang].match, 0, True
@@ -165,15 +166,107 @@ class Tokens:
 _ARGUMENT_KIND = {"number": "literal", "string": "string_literal", "name": "identifier"}
 
 
+#: Kinds of statements by language and keyword, those with bodies first.
+_COMPOUND = {
+    "GOLANG": {"if": "if_statement", "for": "for_statement", "switch": "expression_switch_statement", "select": "select_statement"},
+    "JAVA": {"if": "if_statement", "for": "for_statement", "while": "while_statement", "do": "do_statement", "switch": "switch_expression", "try": "try_statement", "synchronized": "synchronized_statement"},
+    "KOTLIN": {"if": "if_expression", "for": "for_statement", "while": "while_statement", "do": "do_while_statement", "when": "when_expression", "try": "try_expression"},
+    "JAVASCRIPT": {"if": "if_statement", "for": "for_statement", "while": "while_statement", "do": "do_statement", "switch": "switch_statement", "try": "try_statement"},
+}
+_SIMPLE = {
+    "GOLANG": {"return": "return_statement", "defer": "defer_statement", "go": "go_statement"},
+    "JAVA": {"return": "return_statement", "throw": "throw_statement"},
+    "KOTLIN": {"return": "jump_expression", "throw": "jump_expression"},
+    "JAVASCRIPT": {"return": "return_statement", "throw": "throw_statement"},
+}
+_BLOCK = {"GOLANG": "block", "JAVA": "block", "KOTLIN": "control_structure_body", "JAVASCRIPT": "statement_block"}
+
+
+def _line_end(t: Tokens, i: int, b: int) -> int:
+    """The last token of a plain statement whose next token is i."""
+    k = i
+    while k < b:
+        if t.kind(k) in _OPEN:
+            k = t.close(k) + 1
+            continue
+        if t.kind(k) == ";":
+            return k
+        if t.kind(k) in _CLOSE or t.lang != "JAVA" and t.t[k].line_before:
+            return k - 1
+        k += 1
+    return min(k, b) - 1
+
+
+def _statement_end(t: Tokens, i: int, b: int) -> int:
+    """The last token of the compound statement that begins at i, with what follows by else, catch,
+    finally or, for do, while."""
+    k, end = i + 1, i
+    header = not t.is_(i, "do", "try")
+    while k < b:
+        while header and k < b and t.kind(k) != "{":
+            done = t.kind(k) == "(" and t.lang != "GOLANG"
+            k = t.close(k) + 1 if t.kind(k) in _OPEN else k + 1
+            if done:
+                break
+        if t.kind(k) == "(" and t.is_(i, "try"):
+            k = t.close(k) + 1
+        end = t.close(k) if k < b and t.kind(k) == "{" else _line_end(t, k, b) if k < b else k - 1
+        end = max(i, min(end, b - 1))
+        k = end + 1
+        if t.is_(k, "else") and k < b:
+            header = t.is_(k + 1, "if")
+            k += 1 + header
+        elif t.is_(k, "catch") and t.is_(i, "try") and k < b:
+            header = t.kind(k + 1) == "("
+            k += 1
+        elif t.is_(k, "finally") and t.is_(i, "try") and k < b:
+            header = False
+            k += 1
+        elif t.is_(k, "while") and t.is_(i, "do") and k < b:
+            return max(i, min(_line_end(t, k + 1, b), b - 1))
+        else:
+            break
+    return max(i, min(end, b - 1))
+
+
+def _statement(t: Tokens, i: int, b: int, parent: Node, call: str, stop: Callable[[int], int | None], words: frozenset[str]) -> int:
+    """The statement that begins at i, its blocks as nodes of their own; gives the index behind it."""
+    word = t.t[i].text
+    compound = word in _COMPOUND[t.lang]
+    end = _statement_end(t, i, b) if compound else max(i, _line_end(t, i + 1, b))
+    n = t.node(_COMPOUND[t.lang].get(word) or _SIMPLE[t.lang][word], i, end)
+    parent.add(n)
+    k = start = i + 1
+    while compound and k <= end:
+        if t.is_(k, "else") and t.is_(k + 1, "if") and k < end:
+            _calls(t, start, k, n, call, stop, words)
+            start = _statement(t, k + 1, end + 1, n, call, stop, words)
+            break
+        if t.kind(k) != "{":
+            k = t.close(k) + 1 if t.kind(k) in _OPEN else k + 1
+            continue
+        _calls(t, start, k, n, call, stop, words)
+        close = min(t.close(k), end)
+        n.add(block := t.node(_BLOCK[t.lang], k, close, "body"))
+        _calls(t, k + 1, close, block, call, stop, words)
+        k = start = close + 1
+    _calls(t, start + (word == "do" and t.is_(start, "while")), end + 1, n, call, stop, words)
+    return end + 1
+
+
 def _calls(t: Tokens, a: int, b: int, parent: Node, call: str, stop: Callable[[int], int | None], words: frozenset[str]) -> None:
-    """Calls and identifiers in tokens a to b - 1. ``stop(i)`` handles a declaration at i and gives
-    the index behind it."""
+    """Statements, calls and identifiers in tokens a to b - 1. ``stop(i)`` handles a declaration at i
+    and gives the index behind it."""
+    statements = (_COMPOUND[t.lang], _SIMPLE[t.lang])
     i = a
     while i < b:
         after = stop(i)
         if after is not None:
             i = max(after, i + 1)
             continue
+        if t.kind(i) == "name" and any(t.t[i].text in x for x in statements) and t.kind(i - 1) not in (".", "?."):
+            i = max(_statement(t, i, b, parent, call, stop, words), i + 1)
+            continue
         if t.kind(i) == "name" and (not t.is_(i, *words) or t.is_(i, "this", "super") and t.kind(i + 1) == "."):
             start = end = i
             while t.kind(end + 1) in (".", "?.", "::") and t.kind(end + 2) == "name":
@@ -747,6 +840,14 @@ def parse_javascript(text: str) -> tuple[Source, Node]:
 # ---- Python ----
 
 
+#: Kinds of statements by the compiler's class.
+_PY_STATEMENTS = {
+    ast.If: "if_statement", ast.For: "for_statement", ast.AsyncFor: "for_statement", ast.While: "while_statement", ast.Try: "try_statement", ast.TryStar: "try_statement", ast.With: "with_statement", ast.AsyncWith: "with_statement",
+    ast.Match: "match_statement", ast.Return: "return_statement", ast.Raise: "raise_statement", ast.Assert: "assert_statement", ast.Delete: "delete_statement", ast.Import: "import_statement", ast.ImportFrom: "import_from_statement",
+    ast.Assign: "assignment", ast.AnnAssign: "assignment", ast.AugAssign: "augmented_assignment", ast.Call: "call", ast.Lambda: "lambda",
+}
+
+
 def parse_python(text: str) -> tuple[Source, Node]:
     text = text.removeprefix("﻿")
     src = Source(text)
@@ -811,6 +912,10 @@ def parse_python(text: str) -> tuple[Source, Node]:
                 start = at(c.lineno, c.col_offset)
                 parent.add(Node("identifier", start, start + len(c.arg), "name"))
                 visit(c, parent)
+            elif type(c) in _PY_STATEMENTS:
+                own = span(c, _PY_STATEMENTS[type(c)])
+                parent.add(own)
+                visit(c, own)
             else:
                 visit(c, parent)
 

@@ -1,11 +1,15 @@
-"""Facts kept as Parquet, one folder per table, partitioned by repository and revision.
+"""The store of facts: upserts, tags and exact deletes over a driver that keeps the rows.
 
-Writes append; what came last wins when a table is read. A revision is deleted by dropping its
-partitions, exactly, in all tables.
+Writes append; what came last wins when a table is read. The Parquet driver keeps one folder per
+table, partitioned by repository and revision, and deletes a revision by dropping its partitions;
+other drivers can be registered.
 """
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +34,28 @@ def sequence(*before: Column) -> Column:
     return F.concat_ws("|", *before, wide(F.monotonically_increasing_id()))
 
 
-class Store:
+class Driver(ABC):
+    """Where a store's rows are kept. Tables are those of :data:`KEYS`; every row has a repository and
+    a revision."""
+
+    @abstractmethod
+    def exists(self, table: str) -> bool: ...
+
+    @abstractmethod
+    def append(self, table: str, rows: DataFrame) -> None: ...
+
+    @abstractmethod
+    def rows(self, table: str) -> DataFrame:
+        """All rows that were appended and not deleted."""
+
+    @abstractmethod
+    def drop(self, table: str, repo_id: str, rev_hash: str) -> None: ...
+
+
+class ParquetDriver(Driver):
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.base = spark, base.rstrip("/")
 
-    def _path(self, table: str) -> str:
-        if table not in KEYS:
-            raise ValueError(f"no table {table}")
-        return f"{self.base}/{table}"
-
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.base)
@@ -46,7 +63,65 @@ class Store:
 
     def exists(self, table: str) -> bool:
         fs, path = self._fs()
-        return fs.exists(path(self._path(table)))
+        return fs.exists(path(f"{self.base}/{table}"))
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        rows.repartition(*SCOPE).write.mode("append").partitionBy(*SCOPE).parquet(f"{self.base}/{table}")
+
+    def rows(self, table: str) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.base}/{table}")
+
+    def drop(self, table: str, repo_id: str, rev_hash: str) -> None:
+        fs, path = self._fs()
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        fs.delete(path(f"{self.base}/{table}/repo_id={escape(repo_id)}/rev_hash={escape(rev_hash)}"), True)
+
+
+class MemoryDriver(Driver):
+    """Rows held by the session's executors, for tests and small jobs; gone with the session."""
+
+    def __init__(self, spark: SparkSession, base: str = "") -> None:
+        self.tables: dict[str, DataFrame] = {}
+
+    def exists(self, table: str) -> bool:
+        return table in self.tables
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        rows = rows.persist()
+        rows.count()
+        self.tables[table] = self.tables[table].unionByName(rows, allowMissingColumns=True) if table in self.tables else rows
+
+    def rows(self, table: str) -> DataFrame:
+        return self.tables[table]
+
+    def drop(self, table: str, repo_id: str, rev_hash: str) -> None:
+        if table in self.tables:
+            self.tables[table] = self.tables[table].filter(~((F.col("repo_id") == repo_id) & (F.col("rev_hash") == rev_hash)))
+
+
+DRIVERS: dict[str, Callable[[SparkSession, str], Driver]] = {"parquet": ParquetDriver, "memory": MemoryDriver}
+
+
+def register_driver(name: str, factory: Callable[[SparkSession, str], Driver]) -> None:
+    """Add a driver; ``factory`` gets the session and the place that the store is opened with."""
+    if name in DRIVERS:
+        raise ValueError(f"driver {name} is registered already")
+    DRIVERS[name] = factory
+
+
+class Store:
+    def __init__(self, spark: SparkSession, base: str, driver: str = "parquet") -> None:
+        if driver not in DRIVERS:
+            raise ValueError(f"no driver {driver}")
+        self.spark, self.base, self.driver = spark, base.rstrip("/"), DRIVERS[driver](spark, base)
+
+    def _known(self, table: str) -> str:
+        if table not in KEYS:
+            raise ValueError(f"no table {table}")
+        return table
+
+    def exists(self, table: str) -> bool:
+        return self.driver.exists(self._known(table))
 
     def write(self, table: str, rows: DataFrame, at=None) -> None:
         """Upsert: append rows with the time they came and their place in the order of delivery, which
@@ -57,17 +132,22 @@ class Store:
             whole = whole.withColumn("ingest_ts", F.current_timestamp() if at is None else F.lit(at))
         if SEQ not in whole.columns:
             whole = whole.withColumn(SEQ, sequence())
-        whole.repartition(*SCOPE).write.mode("append").partitionBy(*SCOPE).parquet(self._path(table))
+        self.driver.append(self._known(table), whole)
 
     def read(self, table: str) -> DataFrame:
         """The table as it is now: of each key the row that came last."""
-        raw = self.spark.read.option("mergeSchema", "true").parquet(self._path(table))
+        raw = self.driver.rows(self._known(table))
         raw = raw.withColumns({c: F.col(c).cast("string") for c in SCOPE})
         if table == "rev_info":
             return raw.groupBy(*SCOPE).agg(F.max("create_time").alias("create_time"), F.max_by("extras", "ingest_ts").alias("extras"))
         raw = raw if SEQ in raw.columns else raw.withColumn(SEQ, F.lit(None).cast("string"))
         return facts.latest(raw, [*SCOPE, *KEYS[table]], "ingest_ts", SEQ).drop(SEQ)
 
+    def scan(self, table: str) -> DataFrame:
+        """The same in the order of keys."""
+        order = [c for c in ("path", "signature") if c in KEYS[self._known(table)]]
+        return self.read(table).orderBy(*SCOPE, *order)
+
     def add_tag(self, rows: DataFrame, tag: str) -> None:
         """Tags are a set of their own: they survive another upload of the function."""
         self.write("func_tag", rows.select(*SCOPE, "signature", F.lit(tag).alias("tag")).distinct())
@@ -79,18 +159,15 @@ class Store:
         return f.join(facts.tags_of(self.read("func_tag")), [*SCOPE, "signature"], "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
     def delete_revision(self, repo_id: str, rev_hash: str) -> None:
-        fs, path = self._fs()
-        jvm = self.spark.sparkContext._jvm
-        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
         for table in KEYS:
-            fs.delete(path(f"{self._path(table)}/repo_id={escape(repo_id)}/rev_hash={escape(rev_hash)}"), True)
+            self.driver.drop(table, repo_id, rev_hash)
 
     def delete_repository(self, repo_id: str) -> list[str]:
         """Delete all revisions of a repository; returns their names."""
         seen: set[str] = set()
         for table in KEYS:
             if self.exists(table):
-                raw = self.spark.read.parquet(self._path(table))
+                raw = self.driver.rows(table)
                 seen |= {r[0] for r in raw.filter(F.col("repo_id").cast("string") == repo_id).select(F.col("rev_hash").cast("string")).distinct().collect()}
         for rev in sorted(seen):
             self.delete_revision(repo_id, rev)

@@ -44,7 +44,7 @@ def schema(topic: str) -> str:
 def messages(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """A stream of the lines of text files (``value``) and where each came from in time (``came``);
     back-pressure is the number of files per batch."""
-    raw = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(folder)
+    raw = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").load(folder)
     at = F.col("_metadata.file_modification_time").cast("double") * 1000
     return raw.select("value", F.concat_ws("|", F.lpad(at.cast("bigint").cast("string"), 20, "0"), "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0")).alias("came"))
 

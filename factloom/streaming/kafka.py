@@ -19,8 +19,10 @@ def messages(spark: SparkSession, servers: str, topic: str, max_offsets: int = 1
 
 
 def submit(units: DataFrame, servers: str, topic: str) -> None:
-    """Send upload units (rows of a message's columns) as JSON, once, from a batch job."""
-    units.select(F.to_json(F.struct("*")).alias("value")).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", TOPICS[topic]).save()
+    """Send upload units once, from a batch job: the column ``value`` if there is one, else the
+    columns of a message as JSON."""
+    value = F.col("value") if "value" in units.columns else F.to_json(F.struct("*"))
+    units.select(value.alias("value")).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", TOPICS[topic]).save()
 
 
 def submit_stream(units: DataFrame, servers: str, topic: str, checkpoint: str) -> StreamingQuery:

@@ -438,3 +438,38 @@ def test_a_content_is_parsed_once(spark, git, tmp_path, monkeypatch):
     got = files.facts_of(listed, git, "func")
     assert seen[0].filter("text like '%second%'").count() == 1
     assert got.filter("name = 'second'").count() == 3 and got.select("rev_hash").distinct().count() == 2
+
+
+STATEMENTS = {
+    "GOLANG": ("package p\nfunc f(a []int) int {\n\tfor i := 0; i < n(a); i++ {\n\t\tif ok(i) {\n\t\t\treturn g(i)\n\t\t} else if b {\n\t\t\tdefer h()\n\t\t} else { k() }\n\t}\n\tswitch x { case 1: go m() }\n\treturn 0\n}\n",
+        [("for_statement", "for i"), ("if_statement", "if ok"), ("return_statement", "return g(i)"), ("if_statement", "if b"), ("defer_statement", "defer h()"), ("expression_switch_statement", "switch x"), ("go_statement", "go m()"), ("return_statement", "return 0")]),
+    "JAVA": ("class A { int f(int a) { try (R r = o()) { while (a > 0) a = g(a); } catch (E e) { throw new X(e); } finally { h(); } do { k(); } while (a < 3); if (a == 1) return 2; else return 3; } }",
+        [("try_statement", "try (R"), ("while_statement", "while (a > 0) a = g(a);"), ("throw_statement", "throw new X(e);"), ("do_statement", "do {"), ("if_statement", "if (a == 1)"), ("return_statement", "return 2;"), ("return_statement", "return 3;")]),
+    "KOTLIN": ("fun f(a: Int): Int {\n    val x = if (a > 1) g(a) else h()\n    when (x) { 1 -> k() }\n    for (i in 1..2) { m(i) }\n    return x\n}\n",
+        [("if_expression", "if (a > 1) g(a) else h()"), ("when_expression", "when (x)"), ("for_statement", "for (i"), ("jump_expression", "return x")]),
+    "JAVASCRIPT": ("function f(a) {\n  for (const x of a) { if (x.if) g(x)\n  else h() }\n  try { k() } catch { throw m() }\n  return a\n}\n",
+        [("for_statement", "for (const"), ("if_statement", "if (x.if) g(x)\n  else h()"), ("try_statement", "try {"), ("throw_statement", "throw m()"), ("return_statement", "return a")]),
+    "PYTHON": ("def f(a):\n    for x in a:\n        if g(x):\n            return h(x)\n    with o() as r:\n        y = k(r)\n    raise E\n",
+        [("for_statement", "for x"), ("if_statement", "if g"), ("call", "g(x)"), ("return_statement", "return h(x)"), ("call", "h(x)"), ("with_statement", "with o"), ("call", "o()"), ("assignment", "y = k(r)"), ("call", "k(r)"), ("raise_statement", "raise E")]),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(STATEMENTS))
+def test_statements_are_nodes(lang):
+    text, want = STATEMENTS[lang]
+    f = Facts(text, lang)
+    kinds = {k for k, _ in want}
+    got = [(n.kind, f.src.of(n)) for n, _ in f.nodes if n.kind in kinds]
+    assert [k for k, _ in got] == [k for k, _ in want] and all(g.startswith(w) for (_, g), (_, w) in zip(got, want))
+    for n, above in f.nodes:  # inside what is above
+        assert not above or above[-1].start <= n.start <= n.end <= above[-1].end
+    # a call knows the statements around it
+    names = {f.src.of(n): [x.kind for x in above if x.kind in kinds] for n, above in f.nodes if n.kind.endswith("identifier")}
+    assert names["g"][0] == want[0][0] or lang == "KOTLIN"
+
+
+@pytest.mark.parametrize("lang", ["GOLANG", "JAVA", "KOTLIN", "JAVASCRIPT"])
+@pytest.mark.parametrize("text", ["if", "if (", "for {", "do while", "try catch finally", "else else", "if (a) if (b) if (c)", "return", "switch ((((", "for ;;", "while () do {", "if x {} else", "return {", "a.if(b)", "try { } catch"])
+def test_broken_statements_do_not_crash(lang, text):
+    for whole in (text, f"func f() {{ {text} }}", f"class A {{ void f() {{ {text} }} }}", f"fun f() {{ {text}", f"function f() {{ {text} }}"):
+        assert [list(m()) is not None for m in (Facts(whole, lang).functions, Facts(whole, lang).symbols, Facts(whole, lang).units)]
