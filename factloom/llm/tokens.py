@@ -194,19 +194,48 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _reassembled(docs, id_col, text_col, path, count_only=True)
 
 
-def token_bytes(spark, path: str = RANKS) -> DataFrame:
-    """(token int, bytes binary): the vocabulary, bounded by its file."""
-    return spark.createDataFrame(pa.table({"token": pa.array(list((r := read_ranks(path)).values()), pa.int32()), "bytes": pa.array(list(r), pa.binary())}))
+def token_bytes(path: str = RANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table: start and length of every token's bytes by its number, -1 where there is
+    none, and the bytes. Bounded by the vocabulary's file."""
+    ranks = read_ranks(path)
+    start = np.zeros(max(ranks.values()) + 1, np.int64)
+    length = np.full(len(start), -1, np.int64)
+    at = 0
+    for word, token in ranks.items():
+        start[token], length[token] = at, len(word)
+        at += len(word)
+    return start, length, np.frombuffer(b"".join(ranks), np.uint8)
 
 
 def decode(coded: DataFrame, id_col: str = "doc_id", path: str = RANKS) -> DataFrame:
-    """(id, text) of (id, ids) rows with distinct ids: the token-byte table joined to every
-    position, the bytes put together in order. An empty or null list gives an empty text; an
-    unknown token raises an error. Bytes that are no UTF-8 become U+FFFD."""
-    at = coded.select(id_col, F.posexplode("ids").alias("pos", "token"))
-    table = token_bytes(coded.sparkSession, path)
-    known = at.join(F.broadcast(table), "token", "left").withColumn("bytes", F.coalesce("bytes", F.raise_error(F.format_string("unknown token %d", "token")).cast("binary")))
-    grouped = known.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "bytes"))).alias("b"))
-    text = F.array_join(F.transform("b", lambda x: F.hex(x["bytes"])), "")
-    texts = grouped.select(id_col, F.decode(F.unhex(text), "UTF-8").alias("text"))
-    return coded.select(id_col).join(texts, id_col, "left").select(id_col, F.coalesce("text", F.lit("")).alias("text"))
+    """(id, text) of every (id, ids) row: each position joined to the token-byte table, which every
+    task holds, and the bytes put together in order. Nothing is shuffled. An empty or null list gives
+    an empty text; an unknown or null token raises an error. Bytes that are no UTF-8 become U+FFFD."""
+    schema = T.StructType([coded.schema[id_col], T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _tables:
+            _tables[path] = token_bytes(path)
+        start, length, data = _tables[path]
+        for batch in batches:
+            texts = []
+            for r in range(batch.num_rows):
+                ids = batch.column(1).slice(r, 1).flatten()
+                if ids.null_count:
+                    raise ValueError("unknown token null")
+                n = ids.to_numpy(zero_copy_only=False).astype(np.int64)
+                known = (n >= 0) & (n < len(length))
+                known[known] = length[n[known]] >= 0
+                if not known.all():
+                    raise ValueError(f"unknown token {n[~known][0]}")
+                size = length[n]
+                end = np.cumsum(size)
+                # place of each byte in the table: start of its token plus its rank there
+                at = np.repeat(start[n] - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+                texts.append(data[at].tobytes().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    return coded.select(id_col, "ids").mapInArrow(run, schema)
+
+
+_tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}

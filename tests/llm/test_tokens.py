@@ -53,6 +53,17 @@ def test_unknown_token(spark):
         tokens.decode(spark.createDataFrame([(1, [50_256])], "doc_id bigint, ids array<int>")).collect()
 
 
+def test_decoding_keeps_repeated_rows_and_needs_no_shuffle(spark):
+    ids = REFERENCE.encode_ordinary("größer 한국어")
+    df = spark.createDataFrame([(1, ids), (1, ids), (None, []), (2, None), (3, ids[:1])], "doc_id bigint, ids array<int>")
+    out = tokens.decode(df)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, ""), (1, "größer 한국어"), (1, "größer 한국어"), (2, ""), (3, REFERENCE.decode(ids[:1]))]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    for bad in ([-1], [10**8], [None]):
+        with pytest.raises(Exception, match="unknown token"):
+            tokens.decode(spark.createDataFrame([(1, bad)], "doc_id bigint, ids array<int>")).collect()
+
+
 def test_other_vocabulary(spark):
     path = public.path("byte_bpe_multi_50k.tiktoken")
     ref = tiktoken.Encoding("m", pat_str=public.PATTERN, mergeable_ranks=tokens.read_ranks(path), special_tokens={})
