@@ -7,11 +7,14 @@ other drivers can be registered.
 
 from __future__ import annotations
 
+import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.operators import facts
 
@@ -65,11 +68,33 @@ class ParquetDriver(Driver):
         fs, path = self._fs()
         return fs.exists(path(f"{self.base}/{table}"))
 
+    def _schema(self, table: str) -> T.StructType:
+        """The columns of all that was ever appended, for a table whose rows are all deleted."""
+        fs, path = self._fs()
+        at = path(f"{self.base}/_schemas/{table}.json")
+        if not fs.exists(at):
+            return T.StructType()
+        return T.StructType.fromJson(json.loads(self.spark.read.text(at.toString(), wholetext=True).first()[0]))
+
+    def _keep_schema(self, table: str, new: T.StructType) -> None:
+        old = self._schema(table)
+        if more := [f for f in new.fields if f.name not in old.names]:
+            fs, path = self._fs()
+            out = fs.create(path(f"{self.base}/_schemas/{table}.json"), True)
+            out.write(bytearray(T.StructType([*old.fields, *more]).json().encode()))
+            out.close()
+
     def append(self, table: str, rows: DataFrame) -> None:
+        self._keep_schema(table, rows.schema)
         rows.repartition(*SCOPE).write.mode("append").partitionBy(*SCOPE).parquet(f"{self.base}/{table}")
 
     def rows(self, table: str) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.base}/{table}")
+        try:
+            return self.spark.read.option("mergeSchema", "true").parquet(f"{self.base}/{table}")
+        except AnalysisException as e:
+            if "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            return self.spark.createDataFrame([], self._schema(table))
 
     def drop(self, table: str, repo_id: str, rev_hash: str) -> None:
         fs, path = self._fs()
