@@ -182,16 +182,20 @@ def cascade(graph: Graph, max_levels: int | None = None) -> DataFrame:
     found = materialize(level0, "orphans")
     nodes, edges = _narrow(graph, down)
     record, key = ["src_table", "src_id"], ["h1", "h2"]
+    few = plan_bytes(nodes) <= BROADCAST_BYTES
     seen, frontier, level, levels = [found.select(*record)], found.select(*record), 0, []
     while max_levels is None or level < max_levels:
         level += 1
-        lost = materialize(nodes.join(_bounded(frontier), record, "left_semi").select(*key).distinct(), f"lost-{level}")
-        hit = edges.join(_bounded(lost), key, "left_semi").join(_bounded(reduce(DataFrame.unionByName, seen)), record, "left_anti")
+        lost = nodes.join(_bounded(frontier), record, "left_semi").select(*key)
+        # a part of the nodes, so it may be broadcast if these might; else its own size is measured
+        lost = F.broadcast(lost) if few else _bounded(materialize(lost.distinct(), f"lost-{level}"))
+        hit = edges.join(lost, key, "left_semi").join(_bounded(reduce(DataFrame.unionByName, seen)), record, "left_anti")
         n = Observation()
-        fresh = materialize(hit.distinct().withColumn("level", F.lit(level)).observe(n, F.count(F.lit(1)).alias("n")), f"inherited-{level}")
+        # without the level's number, so that every level runs the code compiled for the first
+        fresh = materialize(hit.distinct().observe(n, F.count(F.lit(1)).alias("n")), f"inherited-{level}")
         if not n.get["n"]:
             break
-        levels.append(fresh)
+        levels.append(fresh.withColumn("level", F.lit(level)))
         frontier = fresh.select(*record)
         seen.append(frontier)
         if len(seen) > FOLD:  # so that plans stay short however deep the graph is
