@@ -12,6 +12,7 @@ from factloom.api import Engine
 from factloom.functions import names
 from factloom.operators import facts, tree
 from factloom.runtime import read_table, scratch, stream_table
+from factloom.sources import extract
 from factloom.store import SEQ
 from factloom.streaming import ingest
 
@@ -241,3 +242,61 @@ def tree_first_breadth_first(spark, d):
 def tree_children(spark, d):
     units = _tree(spark, d)
     return tree.children(units, units, ["region"], ["nation", "customer"], ["", "MACHINERY"]).select("region", "start_id", "unit_id")
+
+
+# ---- around the ingest and the extraction ----
+
+
+@query("select topic, count(*) as rows_taken from upload_msg where payload is not null and topic in ('func', 'clazz') group by topic")
+def ingest_gauges(spark, d):
+    """How many messages each topic's job took in, as its own progress reports say."""
+    taken = []
+    for topic in ("func", "clazz"):
+        base = scratch(spark, f"gauge-{topic}")
+        stream = stream_table(spark, d, "upload_msg").filter((F.col("topic") == topic) & F.col("payload").isNotNull()).select(F.col("payload").alias("value"))
+        # rows are counted behind the filter, by the stream itself
+        seen = stream.observe("taken", F.count(F.lit(1)).alias("n"))
+        q = ingest.start(seen, Engine(spark, f"{base}/store").store, topic, f"{base}/checkpoint", f"{base}/dead")
+        q.awaitTermination()
+        taken.append((topic, ingest.taken(q)))
+    return spark.createDataFrame(taken, "topic string, rows_taken bigint")
+
+
+_SOURCE = """with f as (select doc_id, path, text from documents where source = 'src_file' and path is not null and text is not null),
+l as (select doc_id, path, unnest(string_split(text, chr(10))) line from f)"""
+
+
+@query(
+    _SOURCE
+    + r""", m as (select doc_id, regexp_extract(line, '^\s*((?:[a-z]+\s+)*)class\s+(\w+)', ['mods', 'name']) x from l where path like '%.java')
+select doc_id, x.name as name, array_to_string(regexp_split_to_array(trim(x.mods), '\s+'), ' ') as modifiers, count(*) as n from m where x.name <> '' group by all"""
+)
+def java_class_modifiers(spark, d):
+    docs = read_table(spark, d, "documents").filter("source = 'src_file' and path like '%.java'").withColumn("lang", F.lit("JAVA"))
+    out = extract.extract(docs, "class", ["doc_id", "path", "text"]).filter("signature is not null")
+    mods = F.coalesce(F.array_join(F.from_json("extras", "modifiers array<string>")["modifiers"], " "), F.lit(""))
+    # enums and interfaces have none of their own words here
+    plain = out.filter(F.expr(r"text rlike concat('class\\s+', name, '\\b')"))
+    return plain.groupBy("doc_id", "name", mods.alias("modifiers")).agg(F.count("*").alias("n"))
+
+
+@query(_SOURCE + r" select doc_id, count(*) as n from l where path like '%.go' and regexp_matches(line, '^\s*return\b') group by doc_id")
+def tree_return_statements(spark, d):
+    """Return statements of Go files, found by their kind in the trees."""
+    docs = read_table(spark, d, "documents").filter("source = 'src_file' and path like '%.go'").withColumn("lang", F.lit("GOLANG"))
+    units = extract.extract(docs, "unit", ["doc_id"]).filter("error is null")
+    return units.filter(tree.match(["return_statement"])).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("select func_id, signature as before, signature as after from fact_func where signature is not null")
+def function_json_round_trip(spark, d):
+    """Functions written as upload messages and decoded again keep what makes their signature."""
+    f = read_table(spark, d, "fact_func").filter("signature is not null")
+    unit = F.struct("name", "receiver", "namespace", "parameters", "returns", F.col("def_line").alias("defLine"), "span", F.col("body_span").alias("bodySpan"), "extras", "lang")
+    work = F.struct(F.lit("r").alias("repoId"), F.lit("v").alias("revHash"))
+    # the id and the old signature ride on the path
+    message = F.struct(work.alias("workspace"), F.struct(F.concat_ws("\n", "func_id", "signature").alias("path"), F.array(unit).alias("units")).alias("funcResult"))
+    good, _ = ingest.decode(f.select(F.to_json(message).alias("value")), "func")
+    back = ingest.rows(good, "func")
+    parts = F.split("path", "\n")
+    return back.select(parts[0].cast("bigint").alias("func_id"), parts[1].alias("before"), F.col("signature").alias("after"))

@@ -113,6 +113,11 @@ def depth(query: StreamingQuery) -> dict[str, float]:
     return {k: p.get(k) or 0 for k in ("numInputRows", "inputRowsPerSecond", "processedRowsPerSecond")}
 
 
+def taken(query: StreamingQuery, name: str = "taken") -> int:
+    """What a run has counted so far under an observed name, over all its batches."""
+    return sum(p["observedMetrics"][name]["n"] for p in query.recentProgress if name in (p.get("observedMetrics") or {}))
+
+
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours", slide: str | None = None, by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Counts per window of event time and key; events later than ``late`` are dropped in a stream."""
     at = events.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", late)
