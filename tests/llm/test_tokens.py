@@ -34,6 +34,14 @@ def test_words_are_the_tokenizers(text):
     assert "".join(words) == text and [i for w in words for i in encode(w)] == REFERENCE.encode_ordinary(text)
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text("ab1 '\n\r\t\x0b\x1c\x1f\x85\xa0\u2028\u3000é한½٣s_-", max_size=40))
+def test_cuts_at_lines_change_nothing(text):
+    import regex
+
+    assert tokens.splitter()(text) == regex.compile(tokens.PATTERN).findall(text)
+
+
 def test_counts_and_round_trip(spark):
     df = frame(spark, TEXTS)
     coded = tokens.encode(df)
