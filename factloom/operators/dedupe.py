@@ -45,9 +45,15 @@ def position(df: DataFrame) -> list[Column]:
     return [F.xxhash64(meta["file_path"]).alias("_file"), meta["row_index"].alias("_row")]
 
 
+def _whole(df: DataFrame, c: str) -> Column:
+    """A whole number or a time as a long that sorts like it."""
+    col = F.col(f"`{c}`") if "." not in c else F.col(c)
+    return F.unix_micros(col.cast("timestamp")) if df.select(col).schema[0].dataType.typeName().startswith("timestamp") else col.cast("bigint")
+
+
 def delivered(df: DataFrame, identifier: Column, order: str) -> DataFrame:
     """(u1, u2, order, file, row) of each message of a file-based table: all that gets shuffled."""
-    rows = df.select(identifier.alias("_u"), F.col(order).alias("_order"), *position(df))
+    rows = df.select(identifier.alias("_u"), _whole(df, order).alias("_order"), *position(df))
     return rows.filter(F.col("_u").isNotNull()).select(*_halves(F.col("_u")), "_order", "_file", "_row")
 
 
@@ -68,7 +74,7 @@ def _packed(order: Column, file: Column, row: Column) -> Column:
 def losers(df: DataFrame, identifier: Column, order: str) -> DataFrame:
     """Positions of all copies but the first: (_order, _first, _file, _row).
 
-    The first is the one with the smallest order, a whole number; equal or null orders (nulls last)
+    The first is the one with the smallest order, a whole number or a time; equal or null orders (nulls last)
     are settled by a hash of file and row, the same in every run. Messages without an identifier
     have no copies.
 
@@ -149,8 +155,7 @@ def keep_latest(df: DataFrame, key: Sequence[str], at: str, tie: str) -> DataFra
     table gives no row, and columns may have any names.
     """
     cols = [F.col(k) for k in key]
-    micros = F.unix_micros(F.col(at).cast("timestamp")) if "timestamp" in df.schema[at].dataType.simpleString() else F.col(at).cast("bigint")
-    rows = df.select(hash64(*cols).alias("k1"), hash64(F.lit(1), *cols).alias("k2"), micros.alias("_at"), F.col(tie).cast("bigint").alias("_tie"), *position(df))
+    rows = df.select(hash64(*cols).alias("k1"), hash64(F.lit(1), *cols).alias("k2"), _whole(df, at).alias("_at"), _whole(df, tie).alias("_tie"), *position(df))
     rank = F.struct(F.col("_at").isNotNull().alias("a"), F.col("_at").alias("b"), F.col("_tie").isNotNull().alias("c"), F.col("_tie").alias("d"), F.xxhash64("_file", "_row").alias("e"), F.col("_file").alias("f"), F.col("_row").alias("g"))
     many = rows.groupBy("k1", "k2").agg(F.max(rank).alias("w"), F.count("*").alias("n")).filter("n > 1").select("k1", "k2", "w.f", "w.g")
     lost = rows.join(many, ["k1", "k2"]).filter("_file <> f or _row <> g").select("_file", "_row")

@@ -84,3 +84,12 @@ def test_latest_row_of_a_key(table):
     assert dedupe.keep_latest(table([], "k string, at timestamp, id bigint", "e"), ["k"], "at", "id").count() == 0
     narrow = dedupe.keep_latest(df, ["k"], "at", "id")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in narrow  # wide rows are not shuffled
+
+
+def test_times_as_order(table):
+    from datetime import datetime
+
+    data = [(datetime(2024, 1, 1, 0, 0, 0, k), str(U[0]), k) for k in (5, 3, 9)]
+    df = table(data, "at timestamp, msg_id string, k int")
+    assert [r["k"] for r in dedupe.keep_first(df, dedupe.uuid_hex("msg_id"), "at").collect()] == [3]
+    assert [r["k"] for r in dedupe.keep_first(df.withColumn("x", F.lit(1)).drop("x"), dedupe.uuid_hex("msg_id"), "at").collect()] == [3]
