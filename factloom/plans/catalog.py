@@ -637,9 +637,9 @@ def extract_calls(spark, d):
 def tree_enclosing(spark, d):
     """The nearest function around every call, by the tree."""
     functions, calls = ["function_declaration", "method_declaration", "method_definition", "function_definition"], ["call_expression", "method_invocation"]
-    units = extract.extract(_sources(spark, d), "unit", ["doc_id"], columns=["unit_id", "last_descendant_id", "depth", "kind"]).filter("error is null")
+    units = extract.extract(_sources(spark, d), "unit", ["doc_id"], columns=["unit_id", "last_descendant_id", "depth", "kind"], kinds=[*functions, *calls]).filter("error is null")
     # read by both sides of the search, so that files are parsed once
-    units = materialize(units.filter(tree.match([*functions, *calls])).drop("error"), "units")
+    units = materialize(units.drop("error"), "units")
     up = tree.TreeQuery(units, ["doc_id"]).up().kind(*functions)
     return up.first(units.filter(tree.match(calls))).select("doc_id", "start_id", "unit_id", "kind")
 

@@ -68,6 +68,27 @@ def test_columns_that_are_not_asked_for_are_not_given(run):
     assert sorted(zip(*(out.column(i).to_pylist() for i in range(3)))) == [x[:3] for x in expected(texts)]
 
 
+def test_only_units_of_the_kinds_are_given(run):
+    texts = [text(1), "package p", text(2)]
+    (out,) = run(texts, kinds=["function_declaration", "call_expression"])
+    got = [tuple(r.values()) for r in out.select(["doc_id", "unit_id", "kind", "content"]).to_pylist()]
+    assert sorted(got) == [x for x in expected(texts) if x[2] in ("function_declaration", "call_expression")] and len(got) == 2 * 121
+
+
+@pytest.mark.parametrize("x", [text(1), "", "func f() { a(b(c()), func() { d() }) }\nfunc g() {}"])
+def test_units_are_numbered_by_the_tree(x):
+    f, want = Facts(x, "GOLANG"), []
+
+    def walk(n, parent, depth):
+        want.append(row := [len(want), parent, 0, depth, n.kind])
+        for c in n.children:
+            walk(c, row[0], depth + 1)
+        row[2] = len(want) - 1
+
+    walk(f.root, None, 0)
+    assert [[u["unit_id"], u["parent_id"], u["last_descendant_id"], u["depth"], u["kind"]] for u in f.units()] == want
+
+
 def test_calls_have_their_nearest_function(spark, data):
     df = entry.queries()["tree_enclosing"](spark, data)
     # both sides of the search read what one pass over the files wrote
